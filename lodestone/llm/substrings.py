@@ -279,10 +279,15 @@ def _marks(w: Words, i: int, hits: np.ndarray, h: np.ndarray, window: int) -> np
     return removed
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts dealt by id: id, text; (id, hits): the first hashes of the windows to remove)."""
     block = window // 2
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartition("id")
+    # one exchange for all three readings: each must see the same plan, so null ids are set aside here
+    texts = _plain(docs, id_col, text_col).filter(F.col("id").isNotNull()).repartition("id")
     if groups is None:
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         groups = max(16, min(1 << 30, -(-size // GROUP_BYTES)))
@@ -315,7 +320,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count), pa.array(n_removed, pa.int64()), pa.array(digests), *([pa.array(kept, pa.string())] * keep_text)], schema=schema)
 
     ddl = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = texts.join(later, "id", "left").select("id", "text", "hits").mapInArrow(finish, ddl)
+    nameless = _plain(docs, id_col, text_col).filter(F.col("id").isNull()).withColumn("hits", F.lit(None).cast("array<binary>"))
+    out = texts.join(later, "id", "left").select("id", "text", "hits").mapInArrow(finish, ddl).union(nameless.mapInArrow(finish, ddl))
     return out.withColumnRenamed("id", id_col)
 
 
