@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._text import MULT_A, MULT_B, U, Words, rolling
+from lodestone.llm._text import MULT_A, MULT_B, U, Words, mix, rolling
 from lodestone.llm.batches import slices
 
 WINDOW = 50
@@ -137,8 +137,8 @@ def probes(batches: Iterator[pa.RecordBatch], block: int, window: int, groups: i
         yield _emit(rows, _PACKED)
 
 
-def _hits(p: int, parts: list[tuple[bytes, bytes, bytes]], groups: int) -> Iterator[tuple[int, bytes]]:
-    """(id, packed (group, low hash)) of the blocks that are an anchor and stand in two documents at least."""
+def _hits(p: int, parts: list[tuple[bytes, bytes, bytes]], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, (group, low hash)) of the blocks that are an anchor and stand in two documents at least."""
     if p < 0:
         ids = np.concatenate([np.frombuffer(x[0], np.int64) for x in parts])
         h = np.concatenate([np.frombuffer(x[1], np.uint64) for x in parts])
@@ -157,7 +157,7 @@ def _hits(p: int, parts: list[tuple[bytes, bytes, bytes]], groups: int) -> Itera
         size = np.diff(np.append(start, len(s)))
         keep = np.repeat(hit, size)
         ids, code = i[keep], (U(p) << U(32)) | s[keep].astype(U)
-    yield from _by_id(ids, code)
+    return ids, code
 
 
 def _by_id(ids: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -172,7 +172,7 @@ def _by_id(ids: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 def _codes(column: pa.Array, i: int) -> np.ndarray:
     v = column[i].as_py()
-    return np.frombuffer(b"".join(v), np.uint64) if v else np.zeros(0, U)
+    return np.frombuffer(v, np.uint64) if v else np.zeros(0, U)
 
 
 def _candidates(w: Words, at: np.ndarray, block: int, window: int) -> np.ndarray:
@@ -224,12 +224,11 @@ def windows_around(batches: Iterator[pa.RecordBatch], block: int, window: int, g
         yield _emit(rows, _PACKED)
 
 
-def _later(p: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(id, first hashes) of the windows that a smaller id has too."""
+def _later(p: int, parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first hashes) of the windows that a smaller id has too."""
     if p < 0:
-        for ids, hs, _ in parts:
-            yield int(np.frombuffer(ids, np.int64)[0]), hs
-        return
+        hs = [np.frombuffer(x[1], np.uint64) for x in parts]
+        return np.repeat(np.concatenate([np.frombuffer(x[0], np.int64) for x in parts]), [len(h) for h in hs]), np.concatenate(hs)
     ids = np.concatenate([np.frombuffer(x[0], np.int64) for x in parts])
     pair = np.concatenate([np.frombuffer(x[1], np.uint64) for x in parts]).reshape(-1, 2)
     order, run = _runs(ids, pair[:, 1], pair[:, 0])
@@ -237,20 +236,28 @@ def _later(p: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[in
     lead = np.ones(len(order), dtype=bool)
     lead[1:] = run[1:] != run[:-1]
     behind = who > who[lead][run]
-    yield from _by_id(who[behind], pair[order[behind], 0])
+    return who[behind], pair[order[behind], 0]
 
 
-def _grouped(packed: DataFrame, fn) -> DataFrame:
-    out = pa.schema([("id", pa.int64()), ("hits", pa.binary())])
+def _grouped(packed: DataFrame, fn, groups: int) -> DataFrame:
+    """(id, hits): fn on every group of probes, its answers dealt in packed form by id, then one row for each id."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
-        parts = list(zip(*(table.column(c).to_pylist() for c in ("ids", "hs", "extra")), strict=True))
-        rows = list(fn(p, parts))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=out)
+        ids, code = fn(p, list(zip(*(table.column(c).to_pylist() for c in ("ids", "hs", "extra")), strict=True)))
+        to = (mix(ids.view(U)) % U(groups)).astype(np.int64)
+        order = np.lexsort((ids, to))
+        ids, code, to = ids[order], code[order], to[order]
+        cut = np.flatnonzero(np.diff(to)) + 1
+        ends = list(zip([0, *cut], [*cut, len(to)], strict=True)) if len(to) else []
+        return pa.table([pa.array([int(to[a]) for a, _ in ends], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([code[a:b].tobytes() for a, b in ends], pa.binary())], names=["d", "ids", "codes"])
+
+    def collect(table: pa.Table) -> pa.Table:
+        ids, code = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("codes", np.uint64)))
+        rows = list(_by_id(ids, code))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "hits"])
 
-    found = packed.groupBy("p").applyInArrow(run, _HIT_DDL)
-    return found.groupBy("id").agg(F.collect_list("hits").alias("hits"))
+    return packed.groupBy("p").applyInArrow(answer, "d long, ids binary, codes binary").groupBy("d").applyInArrow(collect, _HIT_DDL)
 
 
 def _cut(w: Words, i: int, removed: np.ndarray) -> str:
@@ -292,9 +299,9 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         groups = max(16, min(1 << 30, -(-size // GROUP_BYTES)))
     packed = texts.mapInArrow(lambda it: probes(it, block, window, groups), _PACKED_DDL)
-    hits = _grouped(packed, lambda p, parts: _hits(p, parts, groups))
+    hits = _grouped(packed, lambda p, parts: _hits(p, parts, groups), groups)
     around = texts.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda it: windows_around(it, block, window, groups), _PACKED_DDL)
-    return texts, _grouped(around, _later)
+    return texts, _grouped(around, _later, groups)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, keep_text: bool = False) -> DataFrame:
@@ -320,7 +327,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count), pa.array(n_removed, pa.int64()), pa.array(digests), *([pa.array(kept, pa.string())] * keep_text)], schema=schema)
 
     ddl = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    nameless = _plain(docs, id_col, text_col).filter(F.col("id").isNull()).withColumn("hits", F.lit(None).cast("array<binary>"))
+    nameless = _plain(docs, id_col, text_col).filter(F.col("id").isNull()).withColumn("hits", F.lit(None).cast("binary"))
     out = texts.join(later, "id", "left").select("id", "text", "hits").mapInArrow(finish, ddl).union(nameless.mapInArrow(finish, ddl))
     return out.withColumnRenamed("id", id_col)
 
