@@ -15,7 +15,10 @@ agree in a whole band of registers meet in a bucket.  In every bucket all are
 compared with the least id (a star, not all pairs), by exact multiset overlap of
 their texts; links of at least ``THRESHOLD`` give components.  Where a bucket
 still holds several components, the members outside its largest one are compared
-with those of other components, so that no link between components is lost.
+with those of other components, so that no link between components is lost.  A
+pair goes into that comparison if its signatures, four bits a register, agree as
+often as a pair at the threshold does but for 4.5 standard deviations (three in a
+million such pairs fall below); nothing is capped or sampled.
 
 Defined results: null or wordless texts are similar to nothing and keep their own
 class; rows with a null id get a null class and take no part; repeated rows and
@@ -38,7 +41,8 @@ from lodestone.operators.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 6  # a pair of similarity 0.8 shares no band with probability 7e-4, of 0.85 2e-5
+BANDS, ROWS = 40, 8  # a pair of similarity 0.8 shares no band with probability 6e-4, of 0.85 3e-6
+_SLACK = 4.5  # standard deviations of register agreement by which a candidate may fall short of the threshold
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -112,7 +116,34 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-_SIG_DDL = "id long, k1 long, k2 long, bands array<long>"
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """Four bits of every register, sixteen registers to a 64-bit integer."""
+    n, m = signature.shape
+    width = -(-m // 16)
+    nibbles = np.zeros((n, width * 16), dtype=U)
+    nibbles[:, :m] = mix(signature.copy().view(U)) & U(15)
+    shifts = np.arange(0, 64, 4, dtype=U)
+    return np.bitwise_or.reduce(nibbles.reshape(n, width, 16) << shifts, axis=2)
+
+
+def most_apart(m: int, threshold: float) -> int:
+    """Registers in which the sketches of a pair at the threshold differ at most, but for _SLACK deviations."""
+    p = (1 - threshold) * 15 / 16
+    return int(np.ceil(m * p + _SLACK * np.sqrt(m * p * (1 - p))))
+
+
+def _apart(a: str, b: str, m: int):
+    """Number of registers whose four bits differ, as a column."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for k in range(-(-m // 16)):
+        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(ones))
+    return total
+
+
+_SIG_DDL = "id long, k1 long, k2 long, bands array<long>, sketch array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -124,13 +155,14 @@ def signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
         if not len(has):
             continue
         row, h, n = counted(*shingles(w))
-        keys = bands_of(bag_minhash(row, h, n, w.n, bands * rows), bands, rows)[has]
+        signature = bag_minhash(row, h, n, w.n, bands * rows)[has]
+        keys, sketch = bands_of(signature, bands, rows), sketch_of(signature)
         with np.errstate(over="ignore"):
             place = (np.arange(len(w)) - w.first[w.doc] + 1).astype(U)
             k1 = np.add.reduceat(mix(w.hashes(MULT_A) + place * MULT_B), w.first[has])
             k2 = np.add.reduceat(mix(w.hashes(MULT_B) ^ (place * _GOLD)), w.first[has])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["id", "k1", "k2", "bands"])
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, sketch)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *lists], names=["id", "k1", "k2", "bands", "sketch"])
 
 
 def _similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -179,7 +211,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     rowed = own.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket")).distinct()
     many = rowed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     bucket = scratch.table(rowed.join(many.select("bucket", "centre"), "bucket"), "buckets")
-    scratch.drop(made)
+    sketch = own.select("id", "sketch").dropDuplicates(["id"])
     # representatives only; an id may stand on several rows: one text of it is enough, as they share the id
     star = scratch.table(bucket.filter(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     used = bucket.select(F.col("rep").alias("id")).distinct()
@@ -189,15 +221,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     placed = scratch.table(bucket.select("bucket", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("bucket", "largest")
-    placed = placed.join(mixed, "bucket")
-    outside = placed.filter(F.col("c") != F.col("largest")).select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    inside = placed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("largest")).alias("main"))
-    cross = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") > F.col("b")))).select("a", "b").distinct()
+    placed = placed.join(mixed, "bucket").join(sketch.withColumnRenamed("id", "rep"), "rep")
+    outside = placed.filter(F.col("c") != F.col("largest")).select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
+    inside = placed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"), (F.col("c") == F.col("largest")).alias("main"))
+    alike = _apart("sa", "sb", bands * rows) <= most_apart(bands * rows, threshold)
+    cross = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") > F.col("b"))) & alike).select("a", "b").distinct()
     known = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = scratch.table(_verified(cross.join(known, ["a", "b"], "left_anti"), texts, threshold), "links")
     whole = links if more.isEmpty() else links.union(more)
     final = first if whole is links else connected_components(whole, scratch)
-    scratch.drop(texts, placed)
+    scratch.drop(texts, placed, made)
     by_id = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     by_id = by_id.groupBy("id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
