@@ -12,13 +12,14 @@ weighted Jaccard similarity.
 
 Documents with equal words are one text, represented by the least id.  Texts that
 agree in a whole band of registers meet in a bucket.  In every bucket all are
-compared with the least id (a star, not all pairs), by exact multiset overlap of
+compared with its centre, the text with the most company over all its buckets (a
+star, not all pairs), by exact multiset overlap of
 their texts; links of at least ``THRESHOLD`` give components.  Where a bucket
 still holds several components, the members outside its largest one are compared
 with those of other components, so that no link between components is lost.  A
-pair goes into that comparison if its signatures, four bits a register, agree as
-often as a pair at the threshold does but for 4.5 standard deviations (three in a
-million such pairs fall below); nothing is capped or sampled.
+pair goes into that comparison if its signatures, two bits a register, agree as
+often as a pair at the threshold does but for 3.5 standard deviations (two in ten
+thousand such pairs fall below, fewer than miss every band); nothing is capped.
 
 Defined results: null or wordless texts are similar to nothing and keep their own
 class; rows with a null id get a null class and take no part; repeated rows and
@@ -42,7 +43,7 @@ from lodestone.operators.components import connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8  # a pair of similarity 0.8 shares no band with probability 6e-4, of 0.85 3e-6
-_SLACK = 4.5  # standard deviations of register agreement by which a candidate may fall short of the threshold
+_SLACK = 3.5  # standard deviations of register agreement by which a candidate may fall short of the threshold
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -117,29 +118,26 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """Four bits of every register, sixteen registers to a 64-bit integer."""
+    """Two bits of every register, 32 registers to a 64-bit integer."""
     n, m = signature.shape
-    width = -(-m // 16)
-    nibbles = np.zeros((n, width * 16), dtype=U)
-    nibbles[:, :m] = mix(signature.copy().view(U)) & U(15)
-    shifts = np.arange(0, 64, 4, dtype=U)
-    return np.bitwise_or.reduce(nibbles.reshape(n, width, 16) << shifts, axis=2)
+    width = -(-m // 32)
+    pairs = np.zeros((n, width * 32), dtype=U)
+    pairs[:, :m] = mix(signature.copy().view(U)) & U(3)
+    return np.bitwise_or.reduce(pairs.reshape(n, width, 32) << np.arange(0, 64, 2, dtype=U), axis=2)
 
 
 def most_apart(m: int, threshold: float) -> int:
     """Registers in which the sketches of a pair at the threshold differ at most, but for _SLACK deviations."""
-    p = (1 - threshold) * 15 / 16
+    p = (1 - threshold) * 3 / 4
     return int(np.ceil(m * p + _SLACK * np.sqrt(m * p * (1 - p))))
 
 
 def _apart(a: str, b: str, m: int):
-    """Number of registers whose four bits differ, as a column."""
-    ones = F.lit(0x1111111111111111)
+    """Number of registers whose two bits differ, as a column small enough to be compiled."""
     total = F.lit(0)
-    for k in range(-(-m // 16)):
+    for k in range(-(-m // 32)):
         x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
-        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(ones))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
 
@@ -209,11 +207,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # every id of a text has its bands: those of the least id stand for it
     own = made.join(member.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
     rowed = own.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket")).distinct()
-    many = rowed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    bucket = scratch.table(rowed.join(many.select("bucket", "centre"), "bucket"), "buckets")
+    many = rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    bucket = scratch.table(rowed.join(many, "bucket"), "buckets")
+    company = bucket.join(bucket.groupBy("rep").agg(F.sum("n").alias("company")), "rep")
+    centre = company.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("centre"))
+    bucket_centre = bucket.select("bucket", "rep").join(centre, "bucket")
     sketch = own.select("id", "sketch").dropDuplicates(["id"])
     # representatives only; an id may stand on several rows: one text of it is enough, as they share the id
-    star = scratch.table(bucket.filter(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    star = scratch.table(bucket_centre.filter(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     used = bucket.select(F.col("rep").alias("id")).distinct()
     texts = scratch.table(plain.join(used, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = scratch.table(_verified(star, texts, threshold), "links")
