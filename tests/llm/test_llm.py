@@ -1,6 +1,7 @@
 """Each operator against brute force or defined results on small tables with odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -185,3 +186,24 @@ def test_sharding(spark, docs, rows, empty, limit):
     out = sharding.shard(same, 500).collect()
     assert len(out) == 50 and max(r["shard_bytes"] for r in out) <= 500
     assert sharding.shard(empty).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(int(rng.paretovariate(0.7)) % 90) for _ in range(rng.randint(1, 24))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            words = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["x" + str(rng.randint(0, 30))], [words[at], "y" + str(rng.randint(0, 5))]])
+                words = words or ["z"]
+            lines.append(rng.choice([" ", "  ", "\t"]).join(words))
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [(i, n, set(line.split())) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if line.split()]
+    want = {(i, n) for k, (i, n, s) in enumerate(lines) if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for _, _, o in lines[:k])}
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.duplicates(docs).collect()}
+    assert got == want and 20 < len(want) < len(lines) - 20
