@@ -36,6 +36,7 @@ from lodestone.llm.batches import slices
 from lodestone.llm.decontam import shingles_of, words_of
 
 TRAIN_ROWS = 20_000
+TRAIN_PARTS = 32  # the sample is small in bytes, so that adaptive plans would leave it to one task
 CUTOFF = 0.7
 MIN_DOCS = 5
 MIN_LIFT = 2.0  # lower end of a pattern's log-odds
@@ -160,13 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id").withColumn("words", words_of(F.col("text")))  # TRAIN_ROWS rows at most
     rows = rows.select("id", "toxic", "text", F.coalesce(F.array_min(shingles_of(F.col("words"))), F.xxhash64("id")).alias("twin"))
-    rows = scratch.table(rows.groupBy("twin").agg(F.min_by(F.struct("id", "toxic", "text"), "id").alias("r")).select("r.*", (F.abs(F.xxhash64(F.col("r.id"))) % 2).alias("half")), "sample")
-    words = rows.select("half", "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))).alias("words"))
-    words = words.select("half", "toxic", F.monotonically_increasing_id().alias("no"), F.explode_outer("words").alias("w"))
-    stems = F.array_compact(F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS]))
-    seen = words.select("half", "toxic", "no", F.explode_outer(stems).alias("pattern")).filter(F.col("pattern").isNotNull()).groupBy("no", "pattern", "half", "toxic").count()
-    of = lambda t, h: F.sum(((F.col("toxic") == t) & (F.col("half") == h)).cast("int"))
-    counts = seen.groupBy("pattern").agg(of(1, 0).alias("p0"), of(0, 0).alias("n0"), of(1, 1).alias("p1"), of(0, 1).alias("n1"))
+    rows = scratch.table(rows.repartition(TRAIN_PARTS, "twin").groupBy("twin").agg(F.min_by(F.struct("id", "toxic", "text"), "id").alias("r")).select("r.*", (F.abs(F.xxhash64(F.col("r.id"))) % 2).alias("half")), "sample")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}  # documents with each pattern, by label and half; bounded by the sample
+        for b in batches:
+            for half, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = set(_WORD.findall((text or "").lower()))
+                at = 2 * half + (0 if toxic else 1)
+                for pattern in words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS)):
+                    held.setdefault(pattern, [0, 0, 0, 0])[at] += 1
+        kinds = [pa.array([c[i] for c in held.values()], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *kinds], names=["pattern", "p0", "n0", "p1", "n1"])
+
+    counts = rows.select("half", "toxic", "text").mapInArrow(seen, "pattern string, p0 long, n0 long, p1 long, n1 long")
+    counts = counts.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("p0", "n0", "p1", "n1")])
     n = {(r["toxic"], r["half"]): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
     total = lambda t: n.get((t, 0), 0) + n.get((t, 1), 0)
     counts = counts.withColumns({"p": F.col("p0") + F.col("p1"), "n": F.col("n0") + F.col("n1")})
