@@ -3,9 +3,9 @@
 Base spans come from fixed patterns (email, ip, card, phone).  The field then
 labels the document's *active* words, those with a digit or an @: one node each,
 labels none/email/ip/card/phone, node potentials from shape features, chain edges
-between neighbours, and skip edges from each word to the last one with the same
-or a similar core (equal letters and digits, or equal digits), however far away.
-Loopy belief propagation makes the labels of a document agree; a base span pins
+between neighbours at most ``CHAIN_GAP`` characters apart, and skip edges from each
+word to the first one with the same or a similar core (equal letters and digits, or
+equal digits), however far away, unless a chain edge joins the two.  Loopy belief propagation makes the labels of a document agree; a base span pins
 its words.  A word labelled with at least ``SURE`` outside all base spans is an
 added span.
 
@@ -13,7 +13,8 @@ Node weights are a softmax regression on at most ``TRAIN_WORDS`` words of at mos
 ``TRAIN_DOCS`` documents (those of the smallest hash), labelled by the patterns; the
 features describe shape and context, not the patterns.  Edge potentials are the
 smoothed log-odds of agreement in that sample.  Skip edges link each word to one
-earlier word, so a document of n active words has at most 2 n edges.
+earlier word, the first of its group, so a document of n active words has at most
+2 n edges and evidence crosses a group in few steps, however many repeats it holds.
 
 Defined results: null text is empty and has no spans; rows with a null id are
 searched; documents without active words keep their base spans (none); repeated
@@ -38,7 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 TRAIN_DOCS, TRAIN_WORDS = 20_000, 60_000
 SURE = 0.9
-SWEEPS = 8
+CHAIN_GAP = 2
+SWEEPS = 200  # at most; messages settle long before
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -130,18 +132,23 @@ def _skip_keys(core: str) -> tuple[str, str]:
     return core.lower(), re.sub(r"[^0-9]", "", core)
 
 
+def chained(found: list[tuple[int, int, str]], i: int) -> bool:
+    """Whether a chain edge joins node i to the one before."""
+    return i > 0 and found[i][0] - found[i - 1][1] <= CHAIN_GAP
+
+
 def skip_edges(found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Each node with the last earlier node of equal core, or of equal digits (four at least)."""
-    last: dict[str, int] = {}
+    """Each node with the first node of equal core, or of equal digits (four at least), if no chain edge joins them."""
+    first: dict[str, int] = {}
     out = []
     for i, (_, _, core) in enumerate(found):
         a, d = _skip_keys(core)
-        j = last.get("a" + a, last.get("d" + d) if len(d) >= 4 else None)
-        if j is not None and j != i - 1:
+        j = first.get("a" + a, first.get("d" + d) if len(d) >= 4 else None)
+        if j is not None and not (j == i - 1 and chained(found, i)):
             out.append((j, i))
-        last["a" + a] = i
+        first.setdefault("a" + a, i)
         if len(d) >= 4:
-            last["d" + d] = i
+            first.setdefault("d" + d, i)
     return out
 
 
@@ -159,7 +166,7 @@ class Field:
             if pinned[i] is not None:
                 unary[i] = -50.0
                 unary[i, pinned[i]] = 0.0
-        edges = [(i, i + 1, self.chain) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= 2]
+        edges = [(i, i + 1, self.chain) for i in range(n - 1) if chained(found, i + 1)]
         edges += [(a, b, self.skip) for a, b in skip_edges(found)]
         if not edges:
             return _softmax(unary)
@@ -247,8 +254,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = nodes(text)
             labels = [x or 0 for x in _pin(found, base_spans(text))]
             skip = dict((j, i) for i, j in skip_edges(found))
-            for i, (s, _, core) in enumerate(found):
-                edge = 20 + labels[skip[i]] if i in skip else 10 + labels[i - 1] if i and s - found[i - 1][1] <= 2 else -1
+            for i, (_, _, core) in enumerate(found):
+                edge = 20 + labels[skip[i]] if i in skip else 10 + labels[i - 1] if chained(found, i) else -1
                 rows.append((labels[i], found[i - 1][2] if i else "", core, found[i + 1][2] if i + 1 < len(found) else "", edge))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["label", "before", "core", "after", "prior"])

@@ -173,6 +173,23 @@ def test_pii(spark, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_pii_repeats_are_linked():
+    text = "+491701234567 is my number, when in doubt please ring 491701234567"
+    found = pii.nodes(text)
+    assert pii.skip_edges(found) == [(0, 1)]
+    assert pii.skip_edges(pii.nodes("5551234 5551234")) == []  # a chain edge joins them
+    k = len(pii.LABELS)
+    agree = pii.Field(np.zeros((pii.N_FEATURES, k)), np.zeros((k, k)), 3 * np.eye(k))
+    assert agree.marginals(text, found, [4, None])[1, 4] > 0.8
+    many = " then ring ".join(["5551234"] * 60)
+    p = agree.marginals(many, pii.nodes(many), [4] + [None] * 59)
+    assert p[1:, 4].min() > 0.8
+    near = [0.9 * np.eye(k), 0.4 * np.eye(k)]  # weak edges, loops of chain and skip edges
+    loops = " x ".join(["5551234 7771234"] * 30)
+    p = pii.Field(np.zeros((pii.N_FEATURES, k)), *near).marginals(loops, pii.nodes(loops), [4] + [None] * 59)
+    assert np.isfinite(p).all() and (p.argmax(axis=1) == 4).all()
+
+
 @pytest.mark.parametrize("limit", [400, 5000])
 def test_sharding(spark, docs, rows, empty, limit):
     import duckdb
