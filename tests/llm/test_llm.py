@@ -82,6 +82,29 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.matches(empty, items).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(9)
+    words = {1: rng_text(71, 50).split(), 2: rng_text(72, 60).split(), 3: rng_text(73, 30).split(), 4: ["la", "li", "lo"] * 9 + rng_text(74, 8).split()}
+    fill = lambda n: [f"f{rng.randrange(900)}" for _ in range(n)]
+    texts = [fill(40) + words[1][25:] + words[1][:25] + fill(40), words[2][20:] + words[2][:20] + fill(9), fill(70) + words[3][:-2], words[3][2:], words[4][3:] + words[4][:3] + fill(5)]
+    for _ in range(12):
+        w = list(words[rng.randint(1, 4)])
+        cut = rng.choice([0, 0, len(w) // 2])
+        w = w[cut:] + w[:cut]
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(fill(rng.randint(0, 30)) + w + fill(rng.randint(0, 30)))
+
+    def windows(w, m):
+        return (w[max(0, s) : s + m] for s in range(1 - m, len(w)))
+
+    want = {(d, i) for d, w in enumerate(texts) for i, x in words.items() if any(similarity(" ".join(v), " ".join(x)) >= 0.8 for v in windows(w, len(x)))}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()}
+    assert {(0, 1), (1, 2)} <= want and got == want
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(3)
     data, labels = [], []
