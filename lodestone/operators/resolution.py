@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_pairs(entities: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """(left_id, right_id, n_keys): pairs that share a blocking key which at most ``most`` entities
-    hold (a key of more tells nothing, and its pairs would grow with its square).
+#: Keys held by more entities are dealt out in pieces of about this many.
+PIECE = 1000
+
+
+def block_pairs(entities: DataFrame, keys: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(left_id, right_id, n_keys): pairs that share a blocking key, whatever number of entities hold it.
+    The pairs of a key grow with its square, so the left side of a key held by more than ``piece``
+    entities is dealt over pieces, each with all of the right side.
     entities holds id; keys holds (id, key)."""
     keys = keys.join(entities.select("id"), "id", "left_semi").distinct()
-    held = keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held").between(2, most))
-    keys = keys.join(held.select("key"), "key")
-    right = keys.select("key", F.col("id").alias("right_id"))
-    pairs = keys.select("key", F.col("id").alias("left_id")).join(right, "key").filter("left_id < right_id")
+    held = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held >= 2")
+    keys = keys.join(held.withColumn("pieces", F.ceil(F.col("held") / F.lit(piece)).cast("int")).drop("held"), "key")
+    left = keys.select("key", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("part"), F.col("id").alias("left_id"))
+    right = keys.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"), F.col("id").alias("right_id"))
+    pairs = left.join(right, ["key", "part"]).filter("left_id < right_id")
     return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("n_keys"))
 
 

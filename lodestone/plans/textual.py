@@ -53,7 +53,7 @@ def entity_block_pairs(spark, d):
     p = _t(spark, d, "part")
     keys = p.select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.explode(F.split("p_name", " ")).alias("w"))
     keys = keys.select("id", F.concat_ws("/", "w", "p_brand", F.col("p_size").cast("string")).alias("key"))
-    return resolution.block_pairs(p.select(F.col("p_partkey").alias("id")), keys, 50)
+    return resolution.block_pairs(p.select(F.col("p_partkey").alias("id")), keys)
 
 
 @query("""SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 3600000000 THEN lag(event_id) OVER w END AS cause

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, versions
+from lodestone.operators import graph, resolution, versions
+from lodestone.plans import textual
 
 F1 = [(0, 1), (1, 2), (0, 3), (1, 4), (3, 4), (4, 5), (3, 6)]
 
@@ -81,3 +82,13 @@ def test_catalogue_imports_without_data(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_block_pairs_of_a_common_key(spark, tmp_path):
+    parts = [(i, f"red {'blue' if i < 3 else f'w{i}'}", "B", 1) for i in range(60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want = {(a, b): 2 if b < 3 else 1 for a in range(60) for b in range(a + 1, 60)}
+    assert {(r["left_id"], r["right_id"]): r["n_keys"] for r in textual.entity_block_pairs(spark, str(tmp_path)).collect()} == want
+    keys = spark.createDataFrame([(i, w) for i, n, *_ in parts for w in n.split()], "id long, key string")
+    got = resolution.block_pairs(keys.select("id").distinct(), keys, piece=7).collect()
+    assert len(got) == len(want) and {(r["left_id"], r["right_id"]): r["n_keys"] for r in got} == want
