@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.batches import slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute: matches follow each other, so names are not looked for in other names or in values.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|["'][^"']*["']?|=\s*[^\s>]*""")
 # Elements of the HTML standard by how they are treated.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
-_DROP = frozenset("nav footer aside form button menu dialog fieldset label head figcaption audio video".split()) | _RAW
+_RAW = frozenset("script style noscript template textarea title iframe svg canvas select".split())
+_DROP = frozenset("nav footer aside form button menu dialog fieldset label head audio video".split()) | _RAW
 _BLOCK = frozenset(
-    "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 _CLOSES = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _GOOD = re.compile(r"article|body|content|entry|main|post|story|text|page", re.I)
@@ -59,7 +60,7 @@ def _dropped(tag: str, attrs: str, article: bool) -> tuple[str, bool]:
     hint, drop = "", tag in _DROP or (tag == "header" and not article)
     if attrs:
         for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
                 hint += f" {value}"
             elif name == "role" and value.lower() in _ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -170,7 +171,7 @@ def _assemble(blocks: list[tuple[_Node, str]], root: _Node) -> str:
         if len(text) < 25 and home.tag not in ("p", "h1", "h2", "h3"):
             continue
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        holder = home.parent if home.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") and home.parent is not None else home
+        holder = home.parent if home.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption") and home.parent is not None else home
         share = 1.0
         # an unclosed paragraph may hold the next one: points still reach the container
         while holder is not None and share > 0.01:

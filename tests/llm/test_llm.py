@@ -135,6 +135,13 @@ def test_html():
     assert html_text.extract("<div>" * 3000 + "deep text, with a comma and length" + "</div>" * 3000) == "deep text, with a comma and length"
 
 
+def test_html_keeps_what_only_looks_hidden():
+    kept = "<a href='/hidden-valley'>one</a> <b title='the hidden cost'>two</b> <i data-hidden='false'>three</i> <a href=/x?id=search>four</a> <em onclick=\"f('class=menu')\" data-style='display:none'>five</em> <math><mi>six</mi></math> <object>seven</object>"
+    gone = "<b hidden>x</b><b HIDDEN=''>x</b><b aria-hidden = true>x</b><b style='color:red; display: none'>x</b><b class = 'top menu'>x</b><b a=1 id=search>x</b><b role='menu'>x</b>"
+    page = f"<article><p>Long enough, article text: {kept}{gone}, with commas.</p><figure><img src=a><figcaption>A caption</figcaption></figure><p>And a second paragraph, long enough.</p></article>"
+    assert html_text.extract(page) == "Long enough, article text: one two three four five six seven , with commas. A caption And a second paragraph, long enough."
+
+
 def test_mixing_matches_sql(docs, rows, empty):
     import duckdb
     import pandas as pd
