@@ -19,9 +19,8 @@ still holds several components, the members outside its largest one are compared
 with those of other components, so that no link between components is lost.  A
 pair goes into that comparison if the parities of its shingle counts in 1,024 cells
 differ in no more cells than the counts of a similar pair can (this drops no
-similar pair: the counts differ by at least the number of such cells), and if its signatures, two bits a register, agree as
-often as a pair at the threshold does but for 3.5 standard deviations (two in ten
-thousand such pairs fall below, fewer than miss every band); nothing is capped.
+similar pair: the counts differ by at least the number of such cells); nothing is
+capped.
 
 Defined results: null or wordless texts are similar to nothing and keep their own
 class; rows with a null id get a null class and take no part; repeated rows and
@@ -34,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
@@ -46,7 +45,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8  # a pair of similarity 0.8 shares no band with probability 6e-4, of 0.85 3e-6
 PARITY = 16  # 64-bit integers of parities
-_SLACK = 3.5  # standard deviations of register agreement by which a candidate may fall short of the threshold
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -120,15 +118,6 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """Two bits of every register, 32 registers to a 64-bit integer."""
-    n, m = signature.shape
-    width = -(-m // 32)
-    pairs = np.zeros((n, width * 32), dtype=U)
-    pairs[:, :m] = mix(signature.copy().view(U)) & U(3)
-    return np.bitwise_or.reduce(pairs.reshape(n, width, 32) << np.arange(0, 64, 2, dtype=U), axis=2)
-
-
 def parity_of(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """n rows of PARITY integers: whether the counts of the shingles of each cell add up to an odd number."""
     odd = np.flatnonzero(count & 1)
@@ -138,21 +127,6 @@ def parity_of(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.n
     return out.reshape(n, PARITY)
 
 
-def most_apart(m: int, threshold: float) -> int:
-    """Registers in which the sketches of a pair at the threshold differ at most, but for _SLACK deviations."""
-    p = (1 - threshold) * 3 / 4
-    return int(np.ceil(m * p + _SLACK * np.sqrt(m * p * (1 - p))))
-
-
-def _apart(a: str, b: str, m: int):
-    """Number of registers whose two bits differ, as a column small enough to be compiled."""
-    total = F.lit(0)
-    for k in range(-(-m // 32)):
-        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
-
-
 def _may_reach(threshold: float):
     """Whether the counts of a pair (size, parity: na, pa and nb, pb) can be similar enough: their difference D and sum S have (S - D) / (S + D) >= threshold."""
     cells = F.lit(0)
@@ -161,7 +135,7 @@ def _may_reach(threshold: float):
     return F.greatest(cells, F.abs(F.col("na") - F.col("nb"))) <= (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
-_SIG_DDL = "id long, k1 long, k2 long, size int, bands array<long>, sketch array<long>, parity array<long>"
+_SIG_DDL = "id long, k1 long, k2 long, size int, bands array<long>, parity array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -174,14 +148,14 @@ def signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
             continue
         row, h, n = counted(*shingles(w))
         signature = bag_minhash(row, h, n, w.n, bands * rows)[has]
-        keys, sketch, parity = bands_of(signature, bands, rows), sketch_of(signature), parity_of(row, h, n, w.n)[has]
+        keys, parity = bands_of(signature, bands, rows), parity_of(row, h, n, w.n)[has]
         size = np.bincount(row, n, w.n)[has].astype(np.int32)
         with np.errstate(over="ignore"):
             place = (np.arange(len(w)) - w.first[w.doc] + 1).astype(U)
             k1 = np.add.reduceat(mix(w.hashes(MULT_A) + place * MULT_B), w.first[has])
             k2 = np.add.reduceat(mix(w.hashes(MULT_B) ^ (place * _GOLD)), w.first[has])
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, sketch, parity)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size), *lists], names=["id", "k1", "k2", "size", "bands", "sketch", "parity"])
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, parity)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size), *lists], names=["id", "k1", "k2", "size", "bands", "parity"])
 
 
 def _similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -233,7 +207,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     company = bucket.join(bucket.groupBy("rep").agg(F.sum("n").alias("company")), "rep")
     centre = company.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("centre"))
     bucket_centre = bucket.select("bucket", "rep").join(centre, "bucket")
-    sketch = own.select("id", "size", "sketch", "parity").dropDuplicates(["id"])
+    counts = own.select("id", "size", "parity").dropDuplicates(["id"])
     # representatives only; an id may stand on several rows: one text of it is enough, as they share the id
     star = scratch.table(bucket_centre.filter(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     used = bucket.select(F.col("rep").alias("id")).distinct()
@@ -243,11 +217,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     placed = scratch.table(bucket.select("bucket", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("bucket", "largest")
-    placed = placed.join(mixed, "bucket").join(sketch.withColumnRenamed("id", "rep"), "rep")
-    outside = placed.filter(F.col("c") != F.col("largest")).select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"), F.col("size").alias("na"), F.col("parity").alias("pa"))
-    inside = placed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), (F.col("c") == F.col("largest")).alias("main"))
-    alike = _may_reach(threshold) & (_apart("sa", "sb", bands * rows) <= most_apart(bands * rows, threshold))
-    cross = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") > F.col("b"))) & alike).select("a", "b").distinct()
+    placed = placed.join(mixed, "bucket").join(counts.withColumnRenamed("id", "rep"), "rep")
+    outside = placed.filter(F.col("c") != F.col("largest")).select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na"), F.col("parity").alias("pa"))
+    inside = placed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), (F.col("c") == F.col("largest")).alias("main"))
+    cross = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") > F.col("b"))) & _may_reach(threshold)).select("a", "b").distinct()
     known = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = scratch.table(_verified(cross.join(known, ["a", "b"], "left_anti"), texts, threshold), "links")
     whole = links if more.isEmpty() else links.union(more)
@@ -266,7 +239,14 @@ def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return c.join(size, "class_id", "left").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("stays"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents whose class has a smaller id; rows with a null id stay."""
-    gone = classes(docs, id_col=id_col).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents whose class has a smaller id, one row of each id; rows with a null id stay."""
+    gone = classes(docs, id_col=id_col, text_col=text_col).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
+    ident = F.col(id_col).cast("long")
+    left = docs.join(gone, ident == F.col("gone_id"), "left_anti").select(*docs.columns)
+    again = docs.groupBy(ident.alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("again_id IS NOT NULL AND n > 1").select("again_id")
+    if again.isEmpty():
+        return left
+    first = Window.partitionBy(ident).orderBy(text_col)
+    one = left.join(again, ident == F.col("again_id"), "left_semi").withColumn("m_place", F.row_number().over(first)).filter("m_place = 1").select(*docs.columns)
+    return left.join(again, ident == F.col("again_id"), "left_anti").unionByName(one)

@@ -62,6 +62,13 @@ def test_near_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i}
 
 
+def test_near_dedup_keeps_one_row_of_an_id(spark):
+    a, b = rng_text(81, 60), rng_text(82, 60)
+    data = [(1, a), (1, a), (2, a), (3, b), (3, b), (3, b), (4, None), (4, None), (None, a), (None, a), (5, "alone")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.keep_one(docs).collect())) == Counter({(1, a): 1, (3, b): 1, (4, None): 1, (None, a): 2, (5, "alone"): 1})
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(0)
     errors = []
