@@ -13,7 +13,8 @@ ordered.
 Only DataFrame functions are used.  Defined results: null text has no tokens; a
 null domain, language or source is the leaf named ``(null)``; a null id is hashed
 as a value of its own; repeated rows count as rows; weights not listed are 1;
-weight 0 takes nothing; an empty table gives no rows; other columns stay.
+weight 0 takes nothing; an empty table gives no rows; other columns stay, whatever
+their names (``mix`` replaces columns called like those it adds).
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import Scratch
+from lodestone.llm._names import fresh
+
 FRACTION = 0.5  # of all tokens, the size of the mixture
 MAX_EPOCHS = 4
 SEED = 17
@@ -28,7 +32,7 @@ SEED = 17
 DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
 LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 SOURCE_WEIGHTS: dict[str, float] = {}
-_RANGES = 4096
+LEAF = ["m_domain", "m_lang", "m_source"]
 
 
 def domain_of(source: Column) -> Column:
@@ -70,6 +74,47 @@ def budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: tuple[
     return _share(cap.join(mid, ["m_domain", "m_lang"]), ["m_domain", "m_lang"], "m_source", weights[2]).select("m_domain", "m_lang", "m_source", "tokens", "budget")
 
 
+#: Columns that ``mix`` adds; columns of the input with these names are replaced.
+ADDED = ("m_domain", "m_lang", "m_source", "m_tokens", "m_copies")
+
+
+def _mixed(docs: DataFrame, fraction: float, max_epochs: int, seed: int, domain: Column | None, weights: tuple[dict, dict, dict], id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with the columns of ADDED under names that docs does not have, and those names.
+
+    The tree of budgets and the ranges in which they end have a row for each leaf; they
+    are written once, so that no later plan holds them.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    leaf_names = fresh(docs.columns, "m_domain", "m_lang", "m_source")
+    own = [*docs.columns, *leaf_names]
+    tokens, copies, full, rest, order, rng, edge, before, total = fresh(own, "m_tokens", "m_copies", "m_full", "m_rest", "m_order", "m_range", "m_edge", "m_before", "m_sum")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
+    source = F.col("source")
+    values = [named(domain if domain is not None else domain_of(source)), named(F.col("lang")), named(source)]
+    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    d = docs.withColumns(dict(zip(leaf_names, values, strict=True)) | {tokens: words})
+    leaves = d.groupBy(*[F.col(c).alias(a) for c, a in zip(leaf_names, LEAF, strict=True)]).agg(F.sum(tokens).alias("tokens"))
+    plan = scratch.table(budgets(scratch.table(leaves, "leaves"), fraction, max_epochs, weights), "budgets")
+    plan = plan.withColumn(full, F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.select(*[F.col(a).alias(c) for c, a in zip(leaf_names, LEAF, strict=True)], full, (F.col("budget") - F.col(full) * F.col("tokens")).alias(rest))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(full).cast("string"), ident)), 1, 15), 16, 10).cast("long")
+    d = d.join(plan, leaf_names).withColumn(order, hashed).withColumn(rng, F.shiftright(order, 48))  # 60 bits: 4,096 ranges
+    # of each leaf, the one range in which its budget ends: as many rows as leaves
+    sums = d.groupBy(*leaf_names, rng, rest).agg(F.sum(tokens).alias(total))
+    so_far = Window.partitionBy(*leaf_names).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum(total).over(so_far), F.lit(0)))
+    sums = sums.filter((F.col(before) <= F.col(rest)) & (F.col(before) + F.col(total) > F.col(rest)))
+    ends = scratch.table(sums.select(*leaf_names, F.col(rng).alias(edge), before), "ends")
+    d = d.join(ends, leaf_names, "left")
+    past = F.coalesce(F.col(rng) < F.col(edge), F.lit(True))
+    clear = d.filter(F.col(edge).isNull() | (F.col(rng) != F.col(edge))).withColumn(copies, F.col(full) + past.cast("long"))
+    until = Window.partitionBy(*leaf_names).orderBy(order, id_col).rowsBetween(Window.unboundedPreceding, 0)
+    last = d.filter(F.col(rng) == F.col(edge))
+    last = last.withColumn(copies, F.col(full) + (F.col(before) + F.sum(tokens).over(until) <= F.col(rest)).cast("long"))
+    return clear.unionByName(last).drop(full, rest, order, rng, edge, before), [*leaf_names, tokens, copies]
+
+
 def mix(
     docs: DataFrame,
     fraction: float = FRACTION,
@@ -81,41 +126,26 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """docs with m_domain, m_lang, m_source, m_tokens and m_copies (0: not in the mixture)."""
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
-    source = F.col("source")
-    d = docs.withColumns(
-        {
-            "m_domain": named(domain if domain is not None else domain_of(source)),
-            "m_lang": named(F.col("lang")),
-            "m_source": named(source),
-            "m_tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        }
-    )
-    leaf = ["m_domain", "m_lang", "m_source"]
-    plan = budgets(d.groupBy(*leaf).agg(F.sum("m_tokens").alias("tokens")), fraction, max_epochs, weights)
-    plan = plan.withColumn("m_full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.select(*leaf, "m_full", (F.col("budget") - F.col("m_full") * F.col("tokens")).alias("m_rest"))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("m_full").cast("string"), ident)), 1, 15), 16, 10).cast("long")
-    d = d.join(plan, leaf).withColumn("m_order", hashed).withColumn("m_range", F.shiftright("m_order", 48))  # 60 bits: 4,096 ranges
-    # of each leaf, the one range in which its budget ends: as many rows as leaves
-    sums = d.groupBy(*leaf, "m_range", "m_rest").agg(F.sum("m_tokens").alias("m_sum"))
-    before = Window.partitionBy(*leaf).orderBy("m_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("m_before", F.coalesce(F.sum("m_sum").over(before), F.lit(0)))
-    sums = sums.filter((F.col("m_before") <= F.col("m_rest")) & (F.col("m_before") + F.col("m_sum") > F.col("m_rest")))
-    d = d.join(sums.select(*leaf, F.col("m_range").alias("m_edge"), "m_before"), leaf, "left")
-    past = F.coalesce(F.col("m_range") < F.col("m_edge"), F.lit(True))
-    clear = d.filter(F.col("m_edge").isNull() | (F.col("m_range") != F.col("m_edge"))).withColumn("m_copies", F.col("m_full") + past.cast("long"))
-    so_far = Window.partitionBy(*leaf).orderBy("m_order", id_col).rowsBetween(Window.unboundedPreceding, 0)
-    edge = d.filter(F.col("m_range") == F.col("m_edge"))
-    edge = edge.withColumn("m_copies", F.col("m_full") + (F.col("m_before") + F.sum("m_tokens").over(so_far) <= F.col("m_rest")).cast("long"))
-    return clear.unionByName(edge).drop("m_full", "m_rest", "m_order", "m_range", "m_edge", "m_before")
-
-
-def mixture(docs: DataFrame, **args) -> DataFrame:
+    d, made = _mixed(docs, fraction, max_epochs, seed, domain, weights, id_col, text_col)
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ADDED]
+    return d.select(*kept, *[F.col(c).alias(a) for c, a in zip(made, ADDED, strict=True)])
+
+
+def mixture(
+    docs: DataFrame,
+    fraction: float = FRACTION,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+    domain: Column | None = None,
+    weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The rows of the mixture with the columns of docs, each as many times as its epochs."""
-    m = mix(docs, **args).filter(F.col("m_copies") > 0)
-    return m.withColumn("m_epoch", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int")))).select(*docs.columns)
+    d, made = _mixed(docs, fraction, max_epochs, seed, domain, weights, id_col, text_col)
+    copies = F.col(made[-1])
+    (epoch,) = fresh(d.columns, "m_epoch")
+    return d.filter(copies > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
