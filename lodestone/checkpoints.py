@@ -1,7 +1,7 @@
 """Tables that cut lineage: written to the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests, notebooks on one machine) a folder is made and set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset on
+a local master (tests, notebooks) a folder is made and set; elsewhere it is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
