@@ -30,6 +30,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._names import fresh
+
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 15
@@ -128,8 +130,9 @@ def matches(
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **args) -> DataFrame:
     """docs without those that hold an item."""
-    gone = matches(docs, items, id_col=id_col, **args).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    (gone_id,) = fresh(docs.columns, "gone_id")
+    gone = matches(docs, items, id_col=id_col, **args).select(F.col(id_col).alias(gone_id)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]), "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

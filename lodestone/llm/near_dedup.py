@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
+from lodestone.llm._names import fresh
 from lodestone.llm._text import MULT_A, MULT_B, U, Words, mix, windows
 from lodestone.llm.batches import slices
 from lodestone.operators.components import connected_components
@@ -241,12 +242,13 @@ def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents whose class has a smaller id, one row of each id; rows with a null id stay."""
-    gone = classes(docs, id_col=id_col, text_col=text_col).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
+    gone_id, again_id, place = fresh(docs.columns, "gone_id", "again_id", "m_place")
+    gone = classes(docs, id_col=id_col, text_col=text_col).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id)).distinct()
     ident = F.col(id_col).cast("long")
-    left = docs.join(gone, ident == F.col("gone_id"), "left_anti").select(*docs.columns)
-    again = docs.groupBy(ident.alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("again_id IS NOT NULL AND n > 1").select("again_id")
+    left = docs.join(gone, ident == F.col(gone_id), "left_anti").select(*docs.columns)
+    again = docs.groupBy(ident.alias(again_id)).agg(F.count(F.lit(1)).alias(place)).filter(F.col(again_id).isNotNull() & (F.col(place) > 1)).select(again_id)
     if again.isEmpty():
         return left
     first = Window.partitionBy(ident).orderBy(text_col)
-    one = left.join(again, ident == F.col("again_id"), "left_semi").withColumn("m_place", F.row_number().over(first)).filter("m_place = 1").select(*docs.columns)
-    return left.join(again, ident == F.col("again_id"), "left_anti").unionByName(one)
+    one = left.join(again, ident == F.col(again_id), "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
+    return left.join(again, ident == F.col(again_id), "left_anti").unionByName(one)

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
+from lodestone.llm._names import fresh
 
 SHARD_BYTES = 16 << 20
 ROW_OVERHEAD = 32
-_STEP = 8
+_STEP = 3  # bits beyond the number of shards: about 8 cells a shard in each round
 _BITS = 120
 
 
@@ -63,23 +64,25 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", tex
         sums = level.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == _BITS))
         found = (
+            # cells and shards grow with the rows: no side of these joins is broadcast
             level.select("cell", "depth", "shard")
-            .join(fits, ["depth", "shard"])
+            .join(fits.hint("merge"), ["depth", "shard"])
             .groupBy("cell")
             .agg(F.min_by(F.struct("depth", "shard", "shard_bytes", "shard_rows"), "depth").alias("s"))
         )
         found = scratch.table(found.select("cell", "s.*").withColumn("width", F.lit(high)), "directory")
         directory = found if directory is None else directory.unionByName(found)
-        deep = cells.join(found, "cell", "left_anti")
+        deep = scratch.table(cells.join(found.hint("merge"), "cell", "left_anti").select("cell"), "deep")
+        scratch.drop(cells)
         if high == _BITS or deep.isEmpty():
             break
-        left = left.join(deep.select("cell"), F.substring(left["path"], 1, high) == deep["cell"], "left_semi")
+        left = left.join(deep.hint("merge"), F.substring(left["path"], 1, high) == deep["cell"], "left_semi")
         low, high = high + 1, min(_BITS, high + 2 * _STEP)
     widths = sorted(r[0] for r in directory.select("width").distinct().collect())  # a handful: one per round
     out = None
     for w in widths:
         d = directory.filter(F.col("width") == w).drop("width")
-        part = rows.withColumn("cell", F.substring("path", 1, w)).join(d, "cell")
+        part = rows.withColumn("cell", F.substring("path", 1, w)).join(d.hint("merge"), "cell")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.join(directory, F.lit(False))
@@ -90,11 +93,13 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of docs as one folder per shard below path; returns the assignment.
+    """Write the rows of docs as one folder per shard below path (``_shard=s<bits>``, with more
+    underscores where docs has such a column); returns the assignment.
     The id must be unique here: the assignment is joined back on it."""
     made = shard(docs, limit, id_col, text_col)
-    keys = made.select(F.col(id_col).alias("_shard_id"), F.concat(F.lit("s"), F.col("shard")).alias("_shard"))
-    docs.join(keys, docs[id_col].eqNullSafe(keys["_shard_id"])).drop("_shard_id").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    ident, folder = fresh(docs.columns, "_shard_id", "_shard")
+    keys = made.select(F.col(id_col).alias(ident), F.concat(F.lit("s"), F.col("shard")).alias(folder))
+    docs.join(keys, docs[id_col].eqNullSafe(keys[ident])).drop(ident).repartition(folder).write.partitionBy(folder).parquet(path)
     return made
 
 
