@@ -1,17 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read by five transducers run as one composed machine: *insult* (a
-learned lexicon of words and word stems with weights), *threat*, *target* (who is
-addressed), *negation* and *reported speech*.  The machine's state remembers what
-the clause has shown so far (addressed, negated, quoted); an insult or threat
-symbol emits its weight on the output tape of that state: plain, aimed, negated,
-reported or threat.  A document's emissions per tape, not its isolated words, are
-weighed by a logistic score whose prior expects aimed insults to count most and
-negated or quoted ones least.
+Five transducers read the symbols of a text: *insult* (a learned lexicon of words
+and word stems with weights), *threat* (intent, a verb of violence, a target),
+*target* (who is addressed), *negation* (in force for ``SCOPE`` words) and
+*reported speech* (the rest of a clause after a verb of saying, one more after a
+colon, and quotations up to their end or the end of the paragraph).  Each is a
+table (state, symbol) -> state; ``compose`` runs them as one machine whose states
+are tuples.  An insult's weight goes to its clause under the machine's state; at
+the clause's end the clause emits its sum, multiplied by ``AIMED`` if someone is
+addressed, ``NEGATED`` or ``REPORTED`` where that holds.  A stem that clean texts
+hold now and then emits nothing before its second match.
+
+A document's score is logistic in what its matched clauses emit and in what a clean
+text of its length would emit by chance; threats are joined to it as independent
+evidence with fixed strengths.
 
 Training reads only labelled rows whose crc32(id as text) mod 3 is not 1, at most
 ``TRAIN_ROWS`` of them, those of the smallest hash; near-equal texts count once.
-Stems get log-odds weights from document counts at the lower end of their
+Patterns get log-odds weights from document counts at the lower end of their
 confidence; the score is fitted on emissions of lexicons learned on the other half
 of the sample.  labels, lang, source and id are no inputs of a score.
 
@@ -24,6 +30,7 @@ scored and are never held out nor learned from; repeated rows get a row each.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,94 +47,165 @@ TRAIN_PARTS = 32  # the sample is small in bytes, so that adaptive plans would l
 CUTOFF = 0.7
 MIN_DOCS = 5
 MIN_LIFT = 2.0  # lower end of a pattern's log-odds
+SURE = 1.64  # standard deviations below the estimate
 STEMS = (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
-_PIECE = re.compile(r"[^\W\d_]+|[.!?;:\n]+|[\"“”«»„]")
+#: Words, clause ends, quotation marks; a straight mark after a digit is an inch or second mark.
+_PIECE = re.compile(r"[^\W\d_]+|\n+|:|[.!?;]+|(?<![0-9])\"|[“”«»„]")
 # Function words and verbs of the four languages, by transducer.
 TARGET = frozenset("you your yours yourself u he she they them him her his their du dich dir dein deine ihr euch sie er tu te toi ton ta tes vous votre vos il elle ils tú ti tus usted ustedes vosotros él ella ellos".split())
 NEGATION = frozenset("not never no nobody none without cannot isn aren wasn don doesn didn nicht nie kein keine keiner niemals pas jamais aucun aucune rien nunca jamás ningún ninguna nadie".split())
-REPORTED = frozenset("said says saying told tells quoted quote wrote reported claimed alleged called sagte sagt schrieb zitierte behauptete dit disait écrit affirme dijo dice escribió afirmó".split())
+REPORTED_BY = frozenset("said says saying told tells quoted quote wrote reported claimed alleged sagte sagt schrieb zitierte behauptete dit disait écrit affirme dijo dice escribió afirmó".split())
 THREAT = frozenset("kill murder stab strangle shoot behead lynch töten umbringen erschießen erstechen tuer assassiner égorger matar asesinar apuñalar".split())
-TAPES = ("plain", "aimed", "negated", "reported", "threat", "dense")
-PRIOR = np.array([1.0, 1.3, 0.6, 0.5, 0.8, 0.5])
-PRIOR_BIAS = -3.0
+INTENT = frozenset("will going gonna shall must werde wirst wird vais va voy vas".split())
+SCOPE = 4  # words that a negation reaches
+AIMED, NEGATED, REPORTED = 1.5, 0.1, 0.1  # multipliers of a clause's weight
+FULL_THREAT, HALF_THREAT = 0.8, 0.15  # probabilities
+PRIOR, PRIOR_BIAS = np.array([1.6, -1.0]), -3.0  # of log(1 + emitted) and log(1 + emitted by chance)
+
+SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "intent", "quote", "colon", "end", "paragraph")
+_WORDS = ("word", "insult", "threat", "target", "negation", "report", "intent")
+_ENDS = ("colon", "end", "paragraph")
+
+
+def _table(states: int, rules: dict[tuple[int, str], int]) -> list[dict[str, int]]:
+    """A transition table: a symbol without a rule leaves the state as it is."""
+    return [{y: rules.get((s, y), s) for y in SYMBOLS} for s in range(states)]
+
+
+def _target() -> list[dict[str, int]]:
+    """0 nobody, 1 somebody is addressed in this clause."""
+    return _table(2, {(0, "target"): 1} | {(1, e): 0 for e in _ENDS})
+
+
+def _negation() -> list[dict[str, int]]:
+    """The number of words that a negation still reaches."""
+    rules = {(s, y): max(0, s - 1) for s in range(SCOPE + 1) for y in _WORDS}
+    rules |= {(s, "negation"): SCOPE for s in range(SCOPE + 1)} | {(s, e): 0 for s in range(SCOPE + 1) for e in _ENDS}
+    return _table(SCOPE + 1, rules)
+
+
+def _report() -> list[dict[str, int]]:
+    """0 own words, 1 reported, 2 reported after a colon, 3 quoted."""
+    rules = {(s, "report"): 1 for s in (0, 1, 2)} | {(s, "quote"): 3 for s in (0, 1, 2)} | {(3, "quote"): 0}
+    rules |= {(1, "colon"): 2, (1, "end"): 0, (2, "end"): 0} | {(s, "paragraph"): 0 for s in (1, 2, 3)}
+    return _table(4, rules)
+
+
+def _threat() -> list[dict[str, int]]:
+    """0 nothing, 1 intent, 2 a verb of violence, 3 intent and verb, 4 both and a target."""
+    rules = {(0, "intent"): 1, (0, "threat"): 2, (1, "threat"): 3, (3, "target"): 4} | {(s, e): 0 for s in range(5) for e in _ENDS}
+    return _table(5, rules)
+
+
+def _insult() -> list[dict[str, int]]:
+    """0 no insult in this clause, 1 at least one."""
+    return _table(2, {(0, "insult"): 1} | {(1, e): 0 for e in _ENDS})
+
+
+def compose(*machines: list[dict[str, int]]) -> tuple[list[tuple[int, ...]], list[dict[str, int]]]:
+    """The states that the machines reach together, and the table of their steps."""
+    states, number, table = [(0,) * len(machines)], {(0,) * len(machines): 0}, []
+    for now in states:  # grows while new tuples are found
+        row = {}
+        for y in SYMBOLS:
+            to = tuple(m[s][y] for m, s in zip(machines, now, strict=True))
+            if to not in number:
+                number[to] = len(states)
+                states.append(to)
+            row[y] = number[to]
+        table.append(row)
+    return states, table
+
+
+_STATES, _STEPS = compose(_insult(), _target(), _negation(), _report(), _threat())
+_HELD = [s[0] == 1 for s in _STATES]
+_FACTOR = [(NEGATED if s[2] else 1.0) * (REPORTED if s[3] else 1.0) for s in _STATES]
+_CLAUSE = [AIMED if s[1] else 1.0 for s in _STATES]
+_DANGER = [0 if s[2] or s[3] else 2 if s[4] == 4 else 1 if s[4] in (2, 3) else 0 for s in _STATES]
 
 
 class Grammar:
-    """The composed machine with a learned insult lexicon {pattern: weight}; a stem ends in ``*``."""
+    """The composed machine with a learned insult lexicon {pattern: weight}.
+    A stem ends in ``*``; a pattern after ``2:`` emits from its second match on."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.exact = {k: v for k, v in lexicon.items() if not k.endswith("*")}
-        self.stems = {k[:-1]: v for k, v in lexicon.items() if k.endswith("*")}
-        self._memo: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        w = self._memo.get(word)
-        if w is None:
-            w = max([self.exact.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k)])
+        self.patterns = {(k[2:] if k.startswith("2:") else k): (v, k.startswith("2:")) for k, v in lexicon.items()}
+        self._memo: dict[str, tuple[float, str | None]] = {}
+
+    def weight(self, word: str) -> tuple[float, str | None]:
+        """(weight, the pattern that must match twice or None) of the strongest pattern of a word."""
+        got = self._memo.get(word)
+        if got is None:
+            got = (0.0, None)
+            for p in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)):
+                if p in self.patterns and self.patterns[p][0] > got[0]:
+                    got = (self.patterns[p][0], p if self.patterns[p][1] else None)
             if len(self._memo) > 400_000:
                 self._memo.clear()
-            self._memo[word] = w
-        return w
+            self._memo[word] = got
+        return got
 
-    def emissions(self, text: str | None) -> tuple[float, ...]:
-        """What each tape holds after the whole text."""
+    def emissions(self, text: str | None) -> tuple[float, int, int, int]:
+        """(weight that the clauses emit, full threats, half threats, words) of the whole text."""
         low = (text or "").lower()
         words = _WORD.findall(low)
-        weight, memo = self.weight, self._memo
-        if not any(memo[w] if w in memo else weight(w) for w in set(words)) and THREAT.isdisjoint(words):
-            return (0.0,) * len(TAPES)
-        tape = [0.0] * len(TAPES)
-        aimed = negated = reported = quoted = False
-        held: list[float] = []  # insults of the clause before its target is known
-        hits = 0.0
-
-        def close() -> None:
-            for w in held:
-                k = 3 if reported else 2 if negated else 1 if aimed else 0
-                tape[k] += w
-            held.clear()
-
+        memo, weight = self._memo, self.weight
+        kinds = set(words)
+        if not any((memo.get(w) or weight(w))[0] for w in kinds) and THREAT.isdisjoint(kinds):
+            return 0.0, 0, 0, len(words)
+        state, total, clause = 0, 0.0, 0.0
+        danger, threats = 0, [0, 0, 0]
+        hits: dict[str, int] = {}
         for piece in _PIECE.findall(low):
-            if piece[0] in "\"“”«»„":
-                quoted = not quoted
-                reported = reported or quoted
-            elif not piece[0].isalpha():
-                close()
-                aimed = negated = False
-                reported = quoted
-            elif w := weight(piece):
-                held.append(w)
-                hits += 1
-            elif piece in TARGET:
-                aimed = True
-            elif piece in NEGATION:
-                negated = True
-            elif piece in REPORTED:
-                reported = True
-            elif piece in THREAT:
-                tape[4] += 1.0 if aimed and not negated else 0.5
-        close()
-        out = [float(np.log1p(x)) for x in tape]
-        out[5] = float(np.log1p(100.0 * hits / max(1, len(words))))
-        return tuple(out)
+            first = piece[0]
+            if first.isalpha():
+                w, twice = weight(piece)
+                if w and twice:  # nothing at the first match, at the second for both
+                    seen = hits[twice] = hits.get(twice, 0) + 1
+                    w = 0.0 if seen == 1 else 2 * w if seen == 2 else w
+                if w:
+                    clause += w * _FACTOR[state]
+                    symbol = "insult"
+                else:
+                    symbol = "threat" if piece in THREAT else "target" if piece in TARGET else "negation" if piece in NEGATION else "report" if piece in REPORTED_BY else "intent" if piece in INTENT else "word"
+            else:
+                symbol = "paragraph" if first == "\n" else "colon" if first == ":" else "quote" if first in '"“”«»„' else "end"
+                if symbol != "quote":
+                    if _HELD[state]:
+                        total += clause * _CLAUSE[state]
+                        clause = 0.0
+                    threats[danger] += 1
+                    danger = 0
+            state = _STEPS[state][symbol]
+            if _DANGER[state] > danger:
+                danger = _DANGER[state]
+        if _HELD[state]:
+            total += clause * _CLAUSE[state]
+        threats[danger] += 1
+        return total, threats[2], threats[1], len(words)
 
 
 def _lexicon(rows: list, pos: str, neg: str, n_pos: float, n_neg: float) -> dict[str, float]:
+    """Patterns whose log-odds are surely above MIN_LIFT, for one match or (``2:``) two, whichever says more."""
     out = {}
     for r in rows:
-        p, n = r[pos], r[neg]
-        if p < MIN_DOCS:
-            continue
-        odds = np.log((p + 0.5) / (n_pos + 1)) - np.log((n + 0.5) / (n_neg + 1))
-        low = odds - 2 * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        if low >= MIN_LIFT:
-            out[r["pattern"]] = float(low)
+        best = (0.0, "")
+        for level, mark in (("1", ""), ("2", "2:")):
+            p, n = r[pos + level], r[neg + level]
+            if p < MIN_DOCS:
+                continue
+            odds = np.log((p + 0.5) / (n_pos + 1)) - np.log((n + 0.5) / (n_neg + 1))
+            low = odds - SURE * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+            if low >= MIN_LIFT and low > best[0]:
+                best = (float(low), mark)
+        if best[0]:
+            out[best[1] + r["pattern"]] = best[0]
     return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> tuple[np.ndarray, float]:
-    """Maximum a posteriori weights (never below zero) around PRIOR, and the bias, by Newton steps."""
+    """Maximum a posteriori weights around PRIOR, of PRIOR's signs, and the bias, by Newton steps."""
     z = np.column_stack((x, np.ones(len(x))))
     centre = np.append(PRIOR, PRIOR_BIAS)
     pull = np.append(np.full(len(PRIOR), strength), 0.01)
@@ -138,19 +216,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> tuple[n
         hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
         step = np.linalg.solve(hess, grad)
         b = b - np.clip(step, -2, 2)
-        b[:-1] = np.maximum(b[:-1], 0)
+        b[0], b[1] = max(b[0], 0), min(b[1], 0)
         if np.abs(step).max() < 1e-6:
             break
     return b[:-1], float(b[-1])
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, bias: float):
-        self.lexicon, self.weights, self.bias = lexicon, weights, bias
+    """chance: the weight that clean texts emit for each word."""
+
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, bias: float, chance: float):
+        self.lexicon, self.weights, self.bias, self.chance = lexicon, weights, bias, chance
 
     def scorer(self):
-        g, w, b = Grammar(self.lexicon), self.weights, self.bias
-        return lambda text: float(1 / (1 + np.exp(-np.clip(np.dot(w, g.emissions(text)) + b, -30, 30))))
+        g, (own, by_chance), b, chance = Grammar(self.lexicon), self.weights, self.bias, self.chance
+
+        def score(text: str | None) -> float:
+            emitted, full, half, words = g.emissions(text)
+            logit = own * np.log1p(emitted) + by_chance * np.log1p(chance * words) + b
+            calm = (1 - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) * (1 - FULL_THREAT) ** full * (1 - HALF_THREAT) ** min(half, 2)
+            return float(1 - calm)
+
+        return score
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -162,48 +249,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(sample), "id").withColumn("words", words_of(F.col("text")))  # TRAIN_ROWS rows at most
     rows = rows.select("id", "toxic", "text", F.coalesce(F.array_min(shingles_of(F.col("words"))), F.xxhash64("id")).alias("twin"))
     rows = scratch.table(rows.repartition(TRAIN_PARTS, "twin").groupBy("twin").agg(F.min_by(F.struct("id", "toxic", "text"), "id").alias("r")).select("r.*", (F.abs(F.xxhash64(F.col("r.id"))) % 2).alias("half")), "sample")
+    kinds = [f"{side}{half}{level}" for half in (0, 1) for side in "pn" for level in (1, 2)]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}  # documents with each pattern, by label and half; bounded by the sample
+        held: dict[str, list[int]] = {}  # documents with a pattern once and twice, by label and half; bounded by the sample
         for b in batches:
             for half, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = set(_WORD.findall((text or "").lower()))
-                at = 2 * half + (0 if toxic else 1)
-                for pattern in words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS)):
-                    held.setdefault(pattern, [0, 0, 0, 0])[at] += 1
-        kinds = [pa.array([c[i] for c in held.values()], pa.int64()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *kinds], names=["pattern", "p0", "n0", "p1", "n1"])
-
-    counts = rows.select("half", "toxic", "text").mapInArrow(seen, "pattern string, p0 long, n0 long, p1 long, n1 long")
-    counts = counts.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("p0", "n0", "p1", "n1")])
+                found = Counter()
+                for w, n in Counter(_WORD.findall((text or "").lower())).items():
+                    found[w] += n
+                    for k in STEMS:
+                        if len(w) > k:
+                            found[w[:k] + "*"] += n
+                at = 4 * half + (0 if toxic else 2)
+                for pattern, n in found.items():
+                    c = held.setdefault(pattern, [0] * 8)
+                    c[at] += 1
+                    c[at + 1] += n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([c[i] for c in held.values()], pa.int64()) for i in range(8))], names=["pattern", *kinds])
+
+    counts = rows.select("half", "toxic", "text").mapInArrow(seen, "pattern string, " + ", ".join(f"{k} long" for k in kinds))
+    counts = counts.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in kinds])
     n = {(r["toxic"], r["half"]): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
     total = lambda t: n.get((t, 0), 0) + n.get((t, 1), 0)
-    counts = counts.withColumns({"p": F.col("p0") + F.col("p1"), "n": F.col("n0") + F.col("n1")})
+    counts = counts.withColumns({f"{s}{level}": F.col(f"{s}0{level}") + F.col(f"{s}1{level}") for s in "pn" for level in (1, 2)})
     # bounded by the sample: patterns in MIN_DOCS toxic documents that are clearly rarer in the others
-    rare = (F.col("p") + 0.5) * (total(0) + 1) > 4.0 * (F.col("n") + 0.5) * (total(1) + 1)
-    found = counts.filter((F.col("p") >= MIN_DOCS) & rare).collect()
+    rare = lambda v: (F.col(f"p{v}") >= MIN_DOCS) & ((F.col(f"p{v}") + 0.5) * (total(0) + 1) > 4.0 * (F.col(f"n{v}") + 0.5) * (total(1) + 1))
+    found = counts.filter(rare(1) | rare(2)).collect()
     whole = _lexicon(found, "p", "n", total(1), total(0))
     halves = [_lexicon(found, f"p{h}", f"n{h}", n.get((1, h), 0), n.get((0, h), 0)) for h in (0, 1)]
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [Grammar(x) for x in halves]
         for b in batches:
-            e = [list(machines[1 - h].emissions(t)) for h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(e, pa.list_(pa.float64()))], names=["toxic", "e"])
+            e = [machines[1 - h].emissions(t) for h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in e], pa.float64()), pa.array([x[3] for x in e], pa.int64())], names=["toxic", "emitted", "words"])
 
-    got = rows.select("half", "toxic", "text").mapInArrow(emitted, "toxic int, e array<double>").collect()  # TRAIN_ROWS rows at most
+    got = rows.select("half", "toxic", "text").mapInArrow(emitted, "toxic int, emitted double, words long").orderBy("words", "emitted", "toxic").collect()  # TRAIN_ROWS rows at most
     if not got:
-        return Model(whole, PRIOR, PRIOR_BIAS)
-    weights, bias = fit_logistic(np.array([r["e"] for r in got]), np.array([r["toxic"] for r in got], float))
-    return Model(whole, weights, bias)
+        return Model(whole, PRIOR, PRIOR_BIAS, 0.0)
+    e, words, toxic = (np.array([r[c] for r in got], float) for c in ("emitted", "words", "toxic"))
+    chance = float(e[toxic == 0].sum() / max(1.0, words[toxic == 0].sum()))
+    weights, bias = fit_logistic(np.column_stack((np.log1p(e), np.log1p(chance * words))), toxic)
+    return Model(whole, weights, bias, chance)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id, held_out, score, predicted."""
-    lexicon, weights, bias = model.lexicon, model.weights, model.bias
+    parts = model.lexicon, model.weights, model.bias, model.chance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Model(lexicon, weights, bias).scorer()
+        score = Model(*parts).scorer()
         for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(t.as_py()) for t in b.column(1)], pa.float64())], names=["id", "score"])
 
@@ -214,11 +310,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the toxic ones; columns and types stay."""
-    lexicon, weights, bias = model.lexicon, model.weights, model.bias
+    parts = model.lexicon, model.weights, model.bias, model.chance
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Model(lexicon, weights, bias).scorer()
+        score = Model(*parts).scorer()
         for b in slices(batches, at):
             yield b.filter(pa.array([score(t.as_py()) < CUTOFF for t in b.column(at)], pa.bool_()))
 
