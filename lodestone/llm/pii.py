@@ -2,7 +2,9 @@
 
 Base spans come from fixed patterns (email, ip, card, phone).  The field then
 labels the document's *active* words, those with a digit or an @: one node each,
-labels none/email/ip/card/phone, node potentials from shape features, chain edges
+labels none/email/ip/card/phone/secret, node potentials from shape and context
+features (a secret is learned from long mixed words that stand after a cue such as
+``token =``), chain edges
 between neighbours at most ``CHAIN_GAP`` characters apart, and skip edges from each
 word to the first one with the same or a similar core (equal letters and digits, or
 equal digits), however far away, unless a chain edge joins the two.  Loopy belief propagation makes the labels of a document agree; a base span pins
@@ -36,18 +38,30 @@ from pyspark.sql import functions as F
 from lodestone.llm.batches import slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
+ALL_KINDS = (*KINDS, "secret")  # base spans have the first four kinds
+LABELS = ("none", *ALL_KINDS)
+SECRET = LABELS.index("secret")
 TRAIN_DOCS, TRAIN_WORDS = 20_000, 60_000
 SURE = 0.9
 CHAIN_GAP = 2
 SWEEPS = 200  # at most; messages settle long before
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match starts where a run of digits does: within one, what follows is the same
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ACTIVE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_CORE = re.compile(r"[^0-9A-Za-z@+(]*(.*?)[^0-9A-Za-z]*\Z", re.S)
+_OPEN = re.compile(r"[^0-9A-Za-z@+(]*")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+# Words after which a long mixed word is taken for a secret in training.
+_CUE = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|key|bearer|auth)[^0-9A-Za-z]{0,5}\Z", re.I)
+_CUE_REACH = 24
+
+
+def _digits(s: str) -> int:
+    """The number of ASCII digits."""
+    return sum("0" <= c <= "9" for c in s)
 
 
 def luhn(digits: str) -> bool:
@@ -67,14 +81,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         # the local part holds no @, so the search may start after the last blank before one
         out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)] if len(text) < 4096 else _emails(text)
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 14 <= len(digits) <= 19 and luhn(digits):
                     out.append((m.start(), 2, m.end()))
         if "+" in text:
-            out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+            out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= _digits(m[0]) <= 15]
     return sorted(out)
 
 
@@ -97,9 +111,9 @@ def _emails(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def features(word: str, before: str, after: str) -> list[int]:
+def features(word: str, before: str, after: str, cue: bool = False) -> list[int]:
     """Numbers of the features that hold: shape, lengths and what stands beside the word."""
-    digits = sum(c.isdigit() for c in word)
+    digits = _digits(word)
     letters = sum(c.isalpha() for c in word)
     dots, dashes = word.count("."), word.count("-")
     out = [0, 1 + min(digits, 20), 22 + min(letters, 5), 28 + min(dots, 5), 34 + min(dashes, 4)]
@@ -111,23 +125,38 @@ def features(word: str, before: str, after: str) -> list[int]:
     out.append(49 + (2 if _DIGIT.search(before) else 1 if before.startswith("+") else 0))
     out.append(52 + bool(_DIGIT.search(after)))
     parts = word.split(".")
-    out.append(54 + (len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)))
+    out.append(54 + (len(parts) == 4 and all(0 < len(p) < 4 and _digits(p) == len(p) and int(p) < 256 for p in parts)))
+    out.append(56 + cue)
+    out.append(58 + mixed(word))
     return out
 
 
-N_FEATURES = 56
+N_FEATURES = 60
+
+
+def mixed(word: str) -> bool:
+    """Whether a word looks like a key: 16 characters or more, with digits and letters, no blanks or @."""
+    return len(word) >= 16 and 0 < _digits(word) < len(word) and "@" not in word and any(c.isalpha() for c in word)
 
 
 def nodes(text: str) -> list[tuple[int, int, str]]:
     """(start, end, core) of the active words, stripped of punctuation around them."""
     out = []
     for m in _ACTIVE.finditer(text):
-        c = _CORE.match(m[0])
-        if c and c[1]:
-            out.append((m.start() + c.start(1), m.start() + c.end(1), c[1]))
+        word = m[0]
+        start, end = _OPEN.match(word).end(), len(word)
+        while end > start and word[end - 1] not in _ALNUM:
+            end -= 1
+        if end > start:
+            out.append((m.start() + start, m.start() + end, word[start:end]))
     return out
 
 
+def cued(text: str, start: int) -> bool:
+    """Whether a cue of a secret stands right before a position."""
+    return bool(_CUE.search(text, max(0, start - _CUE_REACH), start))
+
+
 def _skip_keys(core: str) -> tuple[str, str]:
     return core.lower(), re.sub(r"[^0-9]", "", core)
 
@@ -162,7 +191,8 @@ class Field:
         n, k = len(found), len(LABELS)
         unary = np.zeros((n, k))
         for i, (_, _, core) in enumerate(found):
-            unary[i] = self.weights[features(core, found[i - 1][2] if i else "", found[i + 1][2] if i + 1 < n else "")].sum(axis=0)
+            cue = cued(text, found[i][0])
+            unary[i] = self.weights[features(core, found[i - 1][2] if i else "", found[i + 1][2] if i + 1 < n else "", cue)].sum(axis=0)
             if pinned[i] is not None:
                 unary[i] = -50.0
                 unary[i, pinned[i]] = 0.0
@@ -213,12 +243,12 @@ def _pin(found: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -
     return out
 
 
-#: An added span has at least this many digits; an address has an @ inside.
-_LEAST_DIGITS = (0, 4, 12, 7)
+#: An added span has at least this many digits; an address has an @ inside, a secret looks like a key.
+_LEAST_DIGITS = (0, 4, 12, 7, 1)
 
 
 def _plausible(kind: int, core: str) -> bool:
-    return sum(c.isdigit() for c in core) >= _LEAST_DIGITS[kind] and (kind != 0 or "@" in core[1:-1])
+    return _digits(core) >= _LEAST_DIGITS[kind] and (kind != 0 or "@" in core[1:-1]) and (kind != SECRET - 1 or mixed(core))
 
 
 def all_spans(text: str | None, field: Field) -> tuple[list, list]:
@@ -242,37 +272,46 @@ def all_spans(text: str | None, field: Field) -> tuple[list, list]:
     return base, sorted(base + added)
 
 
-_EXAMPLE_DDL = "label int, before string, core string, after string, prior int"
+_EXAMPLE_DDL = "label int, before string, core string, after string, cue boolean, prior int, place long"
+
+
+def example_labels(text: str, found: list[tuple[int, int, str]]) -> list[int]:
+    """Training labels: those of the patterns, and secret for a long mixed word after a cue."""
+    out = [x or 0 for x in _pin(found, base_spans(text))]
+    return [SECRET if not x and mixed(core) and cued(text, s) else x for x, (s, _, core) in zip(out, found, strict=True)]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Active words with their pattern label; prior: 10 * kind of edge (1 chain, 2 skip) + the label at its other end."""
-    for b in slices(batches, 0):
+    """Active words (id hash, text) with their label; prior: 10 * kind of edge (1 chain, 2 skip) + the label at its other end;
+    place: a number that follows from the document's and the word's place in it."""
+    types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64())
+    for b in slices(batches, 1):
         rows = []
-        for t in b.column(0):
+        for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = t.as_py() or ""
             found = nodes(text)
-            labels = [x or 0 for x in _pin(found, base_spans(text))]
+            labels = example_labels(text, found)
             skip = dict((j, i) for i, j in skip_edges(found))
-            for i, (_, _, core) in enumerate(found):
+            for i, (s, _, core) in enumerate(found):
                 edge = 20 + labels[skip[i]] if i in skip else 10 + labels[i - 1] if chained(found, i) else -1
-                rows.append((labels[i], found[i - 1][2] if i else "", core, found[i + 1][2] if i + 1 < len(found) else "", edge))
+                place = ((h ^ (i * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 >> 7) & ((1 << 62) - 1)
+                rows.append((labels[i], found[i - 1][2] if i else "", core, found[i + 1][2] if i + 1 < len(found) else "", cued(text, s), edge, place))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["label", "before", "core", "after", "prior"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _EXAMPLE_DDL.split(", ")])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field learned from a bounded sample of documents."""
+    """The field learned from a bounded sample of documents, the same on every run."""
     k = len(LABELS)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    sample = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = sample.count()
-    part = sample.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, TRAIN_DOCS / max(1, n))))
-    rows = part.select("text").mapInArrow(_examples, _EXAMPLE_DDL).limit(TRAIN_WORDS).collect()
+    part = sample.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, TRAIN_DOCS / max(1, n))))
+    rows = part.select("h", "text").mapInArrow(_examples, _EXAMPLE_DDL).orderBy("place", "core", "before", "after", "label", "prior").limit(TRAIN_WORDS).collect()
     if not rows:
         return Field(np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))
     x = np.zeros((len(rows), N_FEATURES))
     for i, r in enumerate(rows):
-        x[i, features(r["core"], r["before"], r["after"])] = 1
+        x[i, features(r["core"], r["before"], r["after"], r["cue"])] = 1
     y = np.eye(k)[[r["label"] for r in rows]]
     w = np.zeros((N_FEATURES, k))
     rate, speed = 4.0 / len(rows), np.zeros_like(w)
@@ -294,12 +333,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): the counts are of base spans."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans): the first four counts are of base
+    spans, n_secret is that of added secrets, n_spans that of all spans."""
     parts = field.weights, field.chain, field.skip
-    ddl = "id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    ddl = "id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_secret long, n_spans long"
 
     def joined(spans: list) -> str:
-        return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Field(*parts)
@@ -307,8 +347,9 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             found = [all_spans(t.as_py(), f) for t in b.column(1)]
             counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x, _ in found], pa.string()), pa.array([joined(x) for _, x in found], pa.string())],
-                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x, _ in found], pa.string()), pa.array([joined(x) for _, x in found], pa.string()),
+                 pa.array([sum(s[1] == SECRET - 1 for s in x) for _, x in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64())],
+                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_spans"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl).withColumnRenamed("id", id_col)
