@@ -1,21 +1,28 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a number per document, larger is worse.  Its cutoff is chosen per
-stratum (language) from a fixed grid: the smallest cutoff whose false rejections,
-good documents of the labelled holdout above it, have an exact (Clopper-Pearson)
-upper bound of at most ``RISK`` / number of rules.  The confidence is divided by
-all tests made (rules x strata x grid), so with probability 1 - ``DELTA`` all rules
-together reject at most ``RISK`` of the good documents of every stratum.  Where
-the holdout is too small for any cutoff, the rule does not act in that stratum.
-
-The grid is fixed before labels are seen, nothing else is fitted, so every
-labelled document is holdout.  Holdout counts are aggregated in Spark; the driver
-sees one row per stratum.
+Each rule is a number per document, larger is worse.  Per stratum (language) the
+rules share one path of ``GRID`` steps from loose to strict: at step j each rule
+cuts at the smallest value of its fixed grid that at most a share ``path()[j]`` of
+all the stratum's documents exceeds.  Labels have no part in the path.
+
+Along it hypotheses are tested in a fixed sequence: "the cutoffs of step j reject
+more than ``RISK`` of the good documents" is refuted if the exact (Clopper-Pearson)
+upper bound of the false rejections of the labelled holdout is at most ``RISK``, at
+confidence ``DELTA`` / number of strata.  The last step before the first that is
+not refuted is taken.  A fixed sequence needs no further correction, so with
+probability 1 - ``DELTA`` all rules together reject at most ``RISK`` of the good
+documents of every stratum.  Good documents are holdout documents with quality 1
+that pass the base rule.  A stratum with fewer than about ln(strata / DELTA) / RISK
+of them (88 for four strata) gets no cutoffs.
+
+Nothing else is fitted, so every labelled document is holdout.  Counts are
+aggregated in Spark; the driver sees GRID numbers per stratum and rule.
 
 Defined results: null text has no words and fails the base rule; a null language
 is the stratum ``(null)``; documents without a row in labels are judged alike;
-repeated rows are judged each; an id labelled several times counts each time;
-empty labels leave only the base rule; other columns are ignored.
+repeated rows are judged each; an id that stands several times in documents or
+labels is one trial, good if all its labels say so; empty labels leave only the
+base rule; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from lodestone.llm.batches import slices
 RISK = 0.05
 DELTA = 0.05
 GRID = 48
+SHARES = (0.0005, 0.25)  # of a stratum's documents, that one rule cuts at the first and last step
 #: rule: (smallest, largest) cutoff of its logarithmic grid.
 RULES = {
     "symbol_ratio": (0.02, 3.0),
@@ -106,21 +114,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _beta_tail(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_tail(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 / max(1e-300, 1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 10_000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + t * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + t / c
+            c = c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate at which k or fewer of n still has probability delta."""
     if n == 0 or k >= n:
         return 1.0
-
-    def at_most(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
-    lo, hi = k / n, 1.0 - 1e-12
+    lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        if mid <= 0 or at_most(mid) > delta:
-            lo = max(mid, 1e-15)
+        # k or fewer of n at rate p: the tail of beta(k + 1, n - k) above p
+        if 1 - _beta_tail(k + 1, n - k, mid) > delta:
+            lo = mid
         else:
             hi = mid
     return hi
@@ -131,23 +155,52 @@ def grid(rule: str) -> list[float]:
     return [lo * (hi / lo) ** (i / (GRID - 1)) for i in range(GRID)]
 
 
-def cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """{stratum: {rule: cutoff}} from the measures of good holdout documents that pass the base rule."""
+def path() -> list[float]:
+    """The share of documents that each rule may cut at each step, from loose to strict."""
+    lo, hi = SHARES
+    return [lo * (hi / lo) ** (j / (GRID - 1)) for j in range(GRID)]
+
+
+def paths(measured: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """{stratum: {rule: cutoff at each step}} from the measures of all documents."""
+    values = rule_values()
+    above = [F.sum((values[r] > c).cast("long")).alias(f"{r}:{i}") for r in RULES for i, c in enumerate(grid(r))]
+    out = {}
+    for row in measured.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above).collect():  # one row per language
+        out[row["stratum"]] = {r: [next((c for i, c in enumerate(grid(r)) if row[f"{r}:{i}"] <= q * row["n"]), math.inf) for q in path()] for r in RULES}
+    return out
+
+
+def chosen_step(rejected: list[int], n: int, risk: float, delta: float) -> int:
+    """The last step that fixed-sequence testing reaches, -1 for none; rejected: good documents cut at each step, of n."""
+    for j, k in enumerate(rejected):
+        if k > risk * n or upper_bound(k, n, delta) > risk:
+            return j - 1
+    return len(rejected) - 1
+
+
+def _steps_below(value: Column, cuts: list[float]) -> Column:
+    """How many of the cutoffs a value does not exceed."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: value <= c))
+
+
+def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """{stratum: {rule: cutoff}}; measured: measures of all documents, good: the ids of the good holdout documents."""
+    steps = paths(measured)
     values = rule_values()
-    counts = [F.sum((values[r] > c).cast("long")).alias(f"{r}:{i}") for r in RULES for i, c in enumerate(grid(r))]
-    rows = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).collect()  # one row per language
-    tests = max(1, len(rows)) * len(RULES) * GRID
-    allowed = risk / len(RULES)
+    first = F.lit(GRID)  # the first step that cuts a document
+    for s, rules in steps.items():
+        # cutoffs fall from step to step: a document is cut from the step on that follows those it stays below
+        at = [_steps_below(values[r], rules[r]) for r in RULES]
+        first = F.when(F.col("stratum") == s, F.least(*at)).otherwise(first)
+    trials = measured.join(good.distinct(), "id").filter(~F.col("base_failed")).dropDuplicates(["id"])
+    counts = trials.groupBy("stratum", first.alias("first")).count().collect()  # GRID + 1 rows per language
     out: dict[str, dict[str, float]] = {}
-    for row in rows:
-        n, chosen = row["n"], {}
-        for r in RULES:
-            for i, c in enumerate(grid(r)):
-                k = row[f"{r}:{i}"]
-                if k <= allowed * n and upper_bound(k, n, delta / tests) <= allowed:
-                    chosen[r] = c
-                    break
-        out[row["stratum"]] = chosen
+    for s, rules in steps.items():
+        by = {r["first"]: r["count"] for r in counts if r["stratum"] == s}
+        rejected = [sum(c for f, c in by.items() if f <= j) for j in range(GRID)]
+        j = chosen_step(rejected, sum(by.values()), risk, delta / max(1, len(steps)))
+        out[s] = {r: rules[r][j] for r in RULES if math.isfinite(rules[r][j])} if j >= 0 else {}
     return out
 
 
@@ -156,8 +209,9 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     scratch = Scratch(docs.sparkSession, "quality")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("(null)")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
     m = scratch.table(plain.mapInArrow(measures, _DDL), "measures").withColumn("base_failed", base_failed())
-    good = labels.filter(F.col("quality") == 1).select(F.col(id_col).cast("long").alias("id"))
-    chosen = cutoffs(m.join(good, "id").filter(~F.col("base_failed")), risk, delta)
+    label = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).filter("id IS NOT NULL AND quality IS NOT NULL")
+    good = label.groupBy("id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("id")
+    chosen = cutoffs(m, good, risk, delta)
     values = rule_values()
     fails = [
         F.when(F.col("stratum").eqNullSafe(s) & (values[r] > c), F.lit(r))
