@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 
+PIECES = 64
+
 
 def scaled(a: str, length: Column) -> Column:
     """The vector a shrunk or stretched to a length; a zero vector stays."""
@@ -29,12 +31,31 @@ def geodesic(a: str, b: str) -> Column:
 
 def two_stage(rows: DataFrame, queries: DataFrame, k: int, factor: float = 4.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query, id, hamming, cosine, rank): the ceil(k * factor) nearest by sign bits, ordered by exact cosine.
-
-    """
+    The queries are a stated list; each is held against all rows.  A query's rows are dealt over PIECES
+    groups that keep their nearest before they meet, so no task sees all rows of a query."""
     first = max(k, int(-(-k * factor // 1)))
     q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), vectors.sign_bits(vec_col).alias("qb"))
+    asked = q.select(F.collect_list(F.struct("query", "qb")).alias("asked"))
     r = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), vectors.sign_bits(vec_col).alias("b"))
-    near = r.join(q, F.col("id") != F.col("query")).withColumn("hamming", F.bit_count(F.col("b").bitwiseXOR(F.col("qb"))))
+    near = r.select("id", "b").join(F.broadcast(asked)).select("id", "b", F.explode("asked").alias("a")).select("id", "b", "a.query", "a.qb").filter(F.col("id") != F.col("query"))
+    near = near.select("query", "id", vectors.hamming("b", "qb").alias("hamming")).withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(PIECES)))
+    best = F.row_number().over(Window.partitionBy("query", "piece").orderBy("hamming", "id"))
+    near = near.withColumn("p", best).filter(F.col("p") <= first)
     coarse = near.withColumn("p", F.row_number().over(Window.partitionBy("query").orderBy("hamming", "id"))).filter(F.col("p") <= first)
-    exact = coarse.select("query", "id", "hamming", vectors.cosine("v", "qv").alias("cosine"))
+    exact = coarse.select("query", "id", "hamming").join(r.select("id", "v"), "id").join(q.select("query", "qv"), "query")
+    exact = exact.select("query", "id", "hamming", vectors.cosine("v", "qv").alias("cosine"))
     return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "id"))).filter(F.col("rank") <= k)
+
+
+def log_origin(a: str) -> Column:
+    """A point of the unit ball as a tangent vector at the origin: artanh of its length along it, twice."""
+    m = vectors.magnitude(a)
+    factor = F.when(m > 0, 2 * F.atanh(F.least(m, F.lit(1 - 1e-9))) / m).otherwise(0.0)
+    return F.transform(F.col(a), lambda x: x.cast("double") * factor)
+
+
+def exp_origin(a: str) -> Column:
+    """The point of the unit ball that a tangent vector at the origin leads to."""
+    m = vectors.magnitude(a)
+    factor = F.when(m > 0, F.tanh(m / 2) / m).otherwise(0.0)
+    return F.transform(F.col(a), lambda x: x.cast("double") * factor)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import Scratch
+
 K1, B = 1.2, 0.75
 
 
@@ -37,18 +39,30 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, matched): documents by summed saturated tf times idf; statistics over all documents."""
-    lengths = docs.select(F.size(terms_of(F.col(text_col))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avg")).first()
-    n, avg = float(lengths["n"]), float(lengths["avg"] or 1.0)
-    p = postings(docs, id_col, text_col).filter(F.col("term").isin(terms))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(id, score, matched): documents by summed saturated tf times idf; statistics over all documents.
+    Texts are read once: a row of counts per document is written and both passes read that."""
+    scratch = Scratch(docs.sparkSession, "bm25")
+    words = docs.select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("w"))
+    tf = scratch.table(words.select("id", F.size("w").alias("doc_len"), F.filter("w", lambda x: x.isin(terms)).alias("w")).select(
+        "id", "doc_len", *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") if False else _times(t).alias(f"tf{i}") for i, t in enumerate(terms)]), "counts")
+    row = tf.agg(F.count(F.lit(1)), F.avg("doc_len"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms))]).first()
+    n, avg = float(row[0]), float(row[1] or 1.0)
     norm = 1 - B + B * F.col("doc_len") / avg
-    part = idf(F.lit(n), F.col("df")) * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * norm)
-    return p.join(F.broadcast(df), "term").groupBy(F.col("id").alias(id_col)).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+    score, matched = F.lit(0.0), F.lit(0).cast("long")
+    for i in range(len(terms)):
+        t = F.col(f"tf{i}")
+        score = score + F.when(t > 0, idf(F.lit(n), F.lit(row[2 + i])) * (K1 + 1) * t / (t + K1 * norm)).otherwise(0.0)
+        matched = matched + (t > 0).cast("long")
+    return tf.select(F.col("id").alias(id_col), score.alias("score"), matched.alias("matched")).filter("matched > 0")
+
+
+def _times(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
 
+def containing(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, occurrences, first): exact substring search in one scan of each text; occurrences may overlap."""
+    from lodestone.functions.qgram import occurrences
 
-def containing(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", q: int = 3) -> DataFrame:
-    """(id, occurrences, first): exact substring search; occurrences may overlap."""
-    t, p = F.lower(F.col(text_col)), F.lit(pattern.lower())
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t) - len(pattern) + 1, F.lit(1))), lambda i: t.substr(i, F.lit(len(pattern))) == p)
-    return docs.filter(t.contains(pattern.lower())).select(id_col, F.size(at).alias("occurrences"), (F.array_min(at) - 1).alias("first"))
+    m = docs.filter(F.lower(F.col(text_col)).contains(pattern.lower())).select(id_col, occurrences(F.lower(F.col(text_col)), pattern.lower()).alias("m"))
+    return m.select(id_col, F.col("m.tf").alias("occurrences"), F.col("m.first").alias("first"))

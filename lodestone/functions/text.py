@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import Scratch
+
 WORDS_PER_MINUTE = 225
 
 
@@ -23,12 +25,8 @@ def statistics(text: Column) -> dict[str, Column]:
 
 def keyword_density(docs: DataFrame, terms: Column, top: int) -> DataFrame:
     """(term, n, percent): words of four letters and more over all documents."""
+    scratch = Scratch(docs.sparkSession, "keywords")
     t = docs.select(F.explode_outer(terms).alias("term")).filter(F.length("term") >= 4)
-    n = t.count()
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top).withColumn("percent", F.round(100.0 * F.col("n") / max(1, n), 4))
-
-
-def echoes(tokens: DataFrame, near: int = 26) -> DataFrame:
-    """(id, term, at, gap): a term repeated within ``near`` tokens. tokens: id, at, term."""
-    w = Window.partitionBy("id", "term").orderBy("at")
-    return tokens.withColumn("gap", F.col("at") - F.lag("at").over(w)).filter(F.col("gap") <= near).select("id", "term", "at", "gap")
+    counts = scratch.table(t.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")  # the texts are read once
+    n = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.orderBy(F.desc("n"), "term").limit(top).withColumn("percent", F.round(100.0 * F.col("n") / F.lit(n), 4))

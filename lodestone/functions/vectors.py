@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
@@ -42,37 +42,87 @@ def scalar_quantise(a: str) -> Column:
 
 
 def sign_bits(a: str) -> Column:
-    """Bit i of a 64-bit integer is set if component i is not negative (64 components at most)."""
-    return F.aggregate(F.transform(a, lambda v, i: F.when(v >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+    """Longs of 64 bits each: bit i of the k-th is set if component 64 k + i is not negative."""
+    words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / 64).cast("int")))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
+    def word(k: Column) -> Column:
+        bits = F.transform(F.slice(a, k * 64 + 1, F.lit(64)), lambda v, i: F.when(v >= 0, F.call_function("shiftleft", one, i)).otherwise(none))
+        return F.aggregate(bits, none, lambda s, x: s.bitwiseOR(x))
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, cosine, rank) by exact search: every block of at most QUERY_BLOCK queries is held
-    against all vectors in one pass; each partition keeps k per query before the shuffle."""
-    total = queries.count()
+    return F.transform(words, word)
+
+
+def hamming(a: str, b: str) -> Column:
+    """The number of different bits of two arrays of longs."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _matrix(column) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores the places of the k best, of equal scores (9 decimals) those of the least ids."""
+    rounded = np.round(score, 9)
+    n = min(k, score.shape[1])
+    edge = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
+    out = []
+    for row, least in zip(rounded, edge, strict=True):
+        at = np.flatnonzero((row >= least) & (row > -np.inf))
+        out.append(at[np.lexsort((ids[at], -row[at]))][:n])
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", within: str | None = None) -> DataFrame:
+    """(query, id, cosine, rank) by exact search; with ``within``, among rows that share the query's value of that column.
+    Blocks of at most QUERY_BLOCK queries are held against all vectors in one pass each; every batch keeps k per
+    query before the shuffle.  Null vectors and ids take no part."""
+    has = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
+    scope = [F.col(within).cast("string").alias("scope")] if within else [F.lit("").alias("scope")]
+    rows = vectors.filter(has).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *scope)
+    asked = queries.filter(has).select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), *scope)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    packed = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "qv", "scope")).alias("q")).orderBy("block")
     out = None
-    for lo in range(0, total, QUERY_BLOCK):
-        block = queries.orderBy(id_col).offset(lo).limit(QUERY_BLOCK).select(id_col, vec_col).toPandas()
-        ids = block[id_col].to_numpy()
-        m = np.stack(block[vec_col].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for part in packed.toLocalIterator():  # one block at a time
+        block = pd.DataFrame([r.asDict() for r in part["q"]])
+        ids, m, of = block["query"].to_numpy(), _matrix(block["qv"]), block["scope"].to_numpy()
 
-        def top(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
+        def top(frames: Iterator[pd.DataFrame], ids=ids, m=m, of=of) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
-                    v = np.stack(f[vec_col].to_numpy()).astype(np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    s = m @ v.T
-                    s[ids[:, None] == f[id_col].to_numpy()[None, :]] = -np.inf
-                    n = min(k, s.shape[1])
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    yield pd.DataFrame({"query": np.repeat(ids, n), "id": f[id_col].to_numpy()[best].ravel(), "cosine": np.take_along_axis(s, best, 1).ravel()})
-
-        part = vectors.select(id_col, vec_col).mapInPandas(top, "query long, id long, cosine double").filter(F.col("cosine") > float("-inf"))
-        out = part if out is None else out.union(part)
+                    s = m @ _matrix(f["v"]).T
+                    s[(ids[:, None] == f["id"].to_numpy()[None, :]) | (of[:, None] != f["scope"].to_numpy()[None, :])] = -np.inf
+                    best = _first(s, f["id"].to_numpy(), k)
+                    of_query = np.repeat(np.arange(len(ids)), [len(b) for b in best])
+                    at = np.concatenate(best) if len(best) else np.zeros(0, int)
+                    yield pd.DataFrame({"query": ids[of_query], "id": f["id"].to_numpy()[at], "cosine": s[of_query, at]})
+
+        one = rows.mapInPandas(top, "query long, id long, cosine double")
+        out = one if out is None else out.union(one)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query long, id long, cosine double, rank int")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def rerank(candidates: DataFrame, k: int, balance: float) -> DataFrame:
+    """(query, id, place) by maximal marginal relevance: greedily the candidate with the highest
+    balance * relevance - (1 - balance) * similarity to what is chosen (at least 0); of equals the first.
+    candidates: query, id, cosine, v (vector), order; a query's candidates are a bounded top list."""
+
+    def greedy(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("order").reset_index(drop=True)
+        m, rel = _matrix(f["v"]), f["cosine"].to_numpy()
+        close, left, chosen = np.zeros(len(f)), np.ones(len(f), bool), []
+        for _ in range(min(k, len(f))):
+            score = np.where(left, np.round(balance * rel - (1 - balance) * close, 9), -np.inf)
+            at = int(score.argmax())
+            chosen.append(at)
+            left[at] = False
+            close = np.maximum(close, m @ m[at])
+        return pd.DataFrame({"query": f["query"].iloc[chosen], "id": f["id"].iloc[chosen], "place": range(1, len(chosen) + 1)})
+
+    return candidates.groupBy("query").applyInPandas(greedy, "query long, id long, place long")
