@@ -29,11 +29,12 @@ def geodesic(a: str, b: str) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.cosine(a, b))))
 
 
-def two_stage(rows: DataFrame, queries: DataFrame, k: int, factor: float = 4.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, hamming, cosine, rank): the ceil(k * factor) nearest by sign bits, ordered by exact cosine.
+def two_stage(rows: DataFrame, queries: DataFrame, k: int, factor: float = 4.0, share: float = 0.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query, id, hamming, cosine, rank): the ceil(k * factor) nearest by sign bits, or the nearest ``share`` of all
+    rows if that is more (recall falls if the shortlist does not grow with the rows), ordered by exact cosine.
     The queries are a stated list; each is held against all rows.  A query's rows are dealt over PIECES
     groups that keep their nearest before they meet, so no task sees all rows of a query."""
-    first = max(k, int(-(-k * factor // 1)))
+    first = max(k, int(-(-k * factor // 1)), int(-(-share * rows.count() // 1)) if share else 0)
     q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), vectors.sign_bits(vec_col).alias("qb"))
     asked = q.select(F.collect_list(F.struct("query", "qb")).alias("asked"))
     r = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), vectors.sign_bits(vec_col).alias("b"))

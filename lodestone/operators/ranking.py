@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,87 @@ def state_score(gate: Column, status: Column, confidence: Column, claims: Column
 def abstains(score: Column, gated: Column, issues: Column) -> Column:
     """Whether no answer should be given on the best state."""
     return ~gated | (score < 1.75) | ((issues > 0) & (score < 2.1))
+
+
+def fielded(docs: DataFrame, terms: list[str], fields: dict[str, float], k1: float = 1.2, b: float = 0.75, alpha: float = 0.5, decay: float = 0.1, phrase: float = 1.5) -> DataFrame:
+    """(id, score, matched): BM25 over weighted fields (arrays of tokens), times a proximity multiplier of the places
+    that terms share and a boost where each term's first place follows the one before.  Statistics are one row."""
+    lengths = [F.avg(F.size(f)) for f in fields]
+    has = [sum((F.size(F.filter(f, _is(t))) for f in fields), F.lit(0)) > 0 for t in terms]
+    row = docs.agg(F.count(F.lit(1)), *lengths, *[F.count_if(h) for h in has]).first()
+    n, mean = row[0], dict(zip(fields, [float(x or 1.0) for x in row[1 : 1 + len(fields)]], strict=True))
+    whole = F.concat(*[F.col(f) for f in fields])
+    base, matched, common = F.lit(0.0), F.lit(0).cast("long"), F.lit(-1).cast("long")
+    masks = []
+    for t, df in zip(terms, row[1 + len(fields) :], strict=True):
+        x = sum((w * F.size(F.filter(f, _is(t))) / (1 - b + b * F.size(f) / mean[f]) for f, w in fields.items()), F.lit(0.0))
+        idf = math.log(1 + max(0.0, (n - df + 0.5) / (df + 0.5))) if df else 0.0
+        place = F.array_position(whole, t)
+        on = place > 0
+        mask = F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+        base = base + F.when(on, idf * (k1 + 1) * x / (k1 + x)).otherwise(0.0)
+        matched = matched + on.cast("long")
+        common = common.bitwiseAND(F.when(on, mask).otherwise(F.lit(-1).cast("long")))
+        masks.append(mask)
+    share = F.size(whole) / sum(mean.values())
+    near = F.when(F.col("matched") > 1, 1 + alpha * F.bit_count(common) / F.least(F.col("matched"), F.lit(32)) * F.exp(-decay * share)).otherwise(1.0)
+    follows = F.lit(True)
+    for m0, m1 in zip(masks, masks[1:], strict=False):
+        follows = follows & (F.call_function("shiftleft", m0, F.lit(1)).bitwiseAND(m1) != 0)
+    out = docs.withColumn("matched", matched).filter("matched > 0")
+    boost = F.when((F.col("matched") == len(terms)) & follows, phrase).otherwise(1.0)
+    return out.select("id", (base * near * boost).alias("score"), "matched")
+
+
+def _is(term: str):
+    return lambda x: x == term
+
+
+def proximity(mentions: DataFrame, anchors: DataFrame, near: float) -> DataFrame:
+    """(entity, p): 1 for anchors, ``near`` for entities of a chunk that holds one. mentions: chunk, entity."""
+    chunks = mentions.join(anchors, "entity", "left_semi").select("chunk").distinct()
+    around = mentions.join(chunks, "chunk", "left_semi").select("entity").distinct().join(anchors, "entity", "left_anti")
+    return anchors.select("entity", F.lit(1.0).alias("p")).unionByName(around.select("entity", F.lit(near).alias("p")))
+
+
+def fuse(lexical: DataFrame, graph: DataFrame, lex_share: float, graph_share: float) -> DataFrame:
+    """(chunk, score): lexical (chunk, lex) and graph (chunk, graph) candidates, each over its largest, weighted and summed."""
+    most = lexical.agg(F.max("lex").alias("ml")).join(graph.agg(F.max("graph").alias("mg")))
+    both = lexical.join(graph, "chunk", "full").join(F.broadcast(most))  # one row
+    lex = F.coalesce(F.col("lex"), F.lit(0.0)) / F.col("ml")
+    close = F.coalesce(F.col("graph"), F.lit(0.0)) / F.col("mg")
+    return both.select("chunk", (lex_share * F.coalesce(lex, F.lit(0.0)) + graph_share * F.coalesce(close, F.lit(0.0))).alias("score"))
+
+
+def recency(anchor: Column, since: Column, until: Column) -> Column:
+    """How late in a window something lies: 0.15 to 0.5, and 0.35 in an empty window."""
+    return F.when(until > since, 0.15 + 0.35 * (anchor - since) / (until - since)).otherwise(0.35)
+
+
+def history_penalty(conflicts: Column, gaps: Column, contradictions: Column) -> Column:
+    return F.least(conflicts * 0.16, F.lit(0.5)) + F.least(gaps * 0.12, F.lit(0.4)) + F.least(contradictions * 0.11, F.lit(0.33))
+
+
+def resolution_score(canonical: Column, alias: Column, strong: Column, block: Column, shape: Column) -> Column:
+    """The lexical score of a mention and an entity: name 980, alias 1000, tokens 240 + 90 n, block keys 40 + 15 n, shape 140."""
+    some = lambda c, v: F.when(c, v).otherwise(0)
+    return some(canonical, 980) + some(alias, 1000) + some(strong > 0, 240 + 90 * strong) + some(block > 0, 40 + 15 * block) + some(shape, 140)
+
+
+#: The most that each component of an event identity counts.
+IDENTITY_CAPS = {"role": 420, "time": 260, "place": 180, "neighbourhood": 220, "discourse": 150, "lexical": 220}
+
+
+def identity(parts: dict[str, Column]) -> tuple[Column, Column]:
+    """(score, kind) of a pair of events from capped components: full, version or none."""
+    capped = {k: F.least(F.lit(IDENTITY_CAPS[k]), v) for k, v in parts.items()}
+    score = sum(capped.values(), F.lit(0))
+    role = capped.get("role", F.lit(0))
+    return score, F.when((score >= 920) & (role >= 240), "full").when((score >= 620) & (role >= 120), "version").otherwise("none")
+
+
+def alias_confidence(text: Column, name: Column) -> Column:
+    """1 for the name, 0.9 in other case, less where one contains the other, null otherwise."""
+    t, n = F.lower(text), F.lower(name)
+    inside = F.when(F.contains(n, t) & (F.length(t) >= 3), 0.6 + 0.2 * F.length(t) / F.length(n)).when(F.contains(t, n), 0.5 + 0.2 * F.length(n) / F.length(t))
+    return F.when(text == name, 1.0).when(t == n, 0.9).otherwise(inside)

@@ -171,8 +171,8 @@ def curved_distances(spark, d):
 
 @query("""WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
  h AS (SELECT q.vec_id AS query, e.vec_id AS id, list_sum(list_transform(list_zip(q.s, e.s), lambda z: abs(z[1] - z[2])))::BIGINT AS hamming, q.v AS qv, e.v AS v FROM b q JOIN b e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
- c AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY hamming, id) <= 20)
+ c AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY hamming, id) <= greatest(20, ceil(0.4 * (SELECT count(*) FROM embeddings))))
  SELECT query, id, hamming, round(list_cosine_similarity(qv, v), 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(qv, v), 9) DESC, id) AS rank FROM c QUALIFY rank <= 5""")
 def vector_two_stage(spark, d):
     e = _t(spark, d, "embeddings")
-    return geometry.two_stage(e, e.filter("vec_id % 100 = 0"), 5).select("query", "id", F.col("hamming").cast("long").alias("hamming"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    return geometry.two_stage(e, e.filter("vec_id % 100 = 0"), 5, share=0.4).select("query", "id", F.col("hamming").cast("long").alias("hamming"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))

@@ -43,3 +43,8 @@ def replay(checkpoint: DataFrame, journal: DataFrame, keys: list[str], seq: str
     rows = checkpoint.withColumns({seq: F.lit(None).cast("long"), gone: F.lit(False)}).unionByName(journal)
     last = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq))
     return rows.withColumn("_n", F.row_number().over(last)).filter((F.col("_n") == 1) & ~F.col(gone)).drop("_n", seq, gone)
+
+
+def clear(tables: dict[str, DataFrame], names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables with those named (or all) emptied; schemas stay."""
+    return {n: t.limit(0) if names is None or n in names else t for n, t in tables.items()}

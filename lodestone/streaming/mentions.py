@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,19 @@ def pairs_in_window(stream: DataFrame, at: str, group: str, entities: str, late:
 def unobserved(messages: DataFrame, marks: DataFrame, thread: str, at: str, mark: str = "mark") -> DataFrame:
     """Messages after the mark of their thread; a thread without a mark gives all of its messages."""
     return messages.join(marks.select(thread, mark), thread, "left").filter(F.col(mark).isNull() | (F.col(at) > F.col(mark))).drop(mark)
+
+
+def registry(rows: DataFrame, who: str, at: str, tie: str, kind: str, cap: int, ring: int) -> DataFrame:
+    """(who, mentions, kept, oldest_kept, ring): per entity how many mentions there were, the latest ``cap`` that are
+    kept, and the kinds of the last ``ring``, latest first."""
+    back = Window.partitionBy(who).orderBy(F.desc(at), F.desc(tie))
+    m = rows.select(who, tie, kind, F.row_number().over(back).alias("back"), F.count(F.lit(1)).over(Window.partitionBy(who)).alias("mentions")).filter(F.col("back") <= cap)
+    last = F.array_sort(F.collect_list(F.when(F.col("back") <= ring, F.struct("back", kind))))
+    g = m.groupBy(who, "mentions").agg(F.count(F.lit(1)).alias("kept"), F.min(tie).alias("oldest_kept"), last.alias("r"))
+    return g.select(who, "mentions", "kept", "oldest_kept", F.array_join(F.transform("r", lambda x: x[kind]), ",").alias("ring"))
+
+
+def recompute(kept: DataFrame, rows: DataFrame, late: DataFrame, scope: str, roll) -> DataFrame:
+    """kept with the scopes of late rows computed again from all of their rows; the others stay as they are."""
+    dirty = late.select(scope).distinct()
+    return kept.join(dirty, scope, "left_anti").unionByName(roll(rows.join(dirty, scope, "left_semi")))
