@@ -276,9 +276,10 @@ _EXAMPLE_DDL = "label int, before string, core string, after string, cue boolean
 
 
 def example_labels(text: str, found: list[tuple[int, int, str]]) -> list[int]:
-    """Training labels: those of the patterns, and secret for a long mixed word after a cue."""
+    """Training labels: those of the patterns, and secret for a long mixed word that stands after a cue anywhere in the text."""
     out = [x or 0 for x in _pin(found, base_spans(text))]
-    return [SECRET if not x and mixed(core) and cued(text, s) else x for x, (s, _, core) in zip(out, found, strict=True)]
+    told = {core for s, _, core in found if mixed(core) and cued(text, s)}
+    return [SECRET if not x and core in told else x for x, (_, _, core) in zip(out, found, strict=True)]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,8 +93,8 @@ def _report() -> list[dict[str, int]]:
 
 
 def _threat() -> list[dict[str, int]]:
-    """0 nothing, 1 intent, 2 a verb of violence, 3 intent and verb, 4 both and a target."""
-    rules = {(0, "intent"): 1, (0, "threat"): 2, (1, "threat"): 3, (3, "target"): 4} | {(s, e): 0 for s in range(5) for e in _ENDS}
+    """0 nothing, 1 intent, 2 a verb of violence, 3 intent and verb, 4 both and a target; none reaches over a quotation mark."""
+    rules = {(0, "intent"): 1, (0, "threat"): 2, (1, "threat"): 3, (3, "target"): 4} | {(s, e): 0 for s in range(5) for e in (*_ENDS, "quote")}
     return _table(5, rules)
 
 
