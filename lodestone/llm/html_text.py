@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,13 +48,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "hint", "drop", "score", "chars", "linked", "first", "last")
+    __slots__ = ("tag", "parent", "hint", "drop", "score", "chars", "linked", "number", "last")
 
     def __init__(self, tag: str, parent: _Node | None, hint: str, drop: bool):
         self.tag, self.parent, self.hint, self.drop = tag, parent, hint, drop
         self.score = 0.0
         self.chars = self.linked = 0
-        self.first, self.last = -1, -1  # the blocks inside
+        self.number = self.last = 0  # its own place and that of its last descendant, in page order
 
 
 def _dropped(tag: str, attrs: str, article: bool) -> tuple[str, bool]:
@@ -75,6 +76,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = _Node("#root", None, "", False)
+    nodes = [root]
     now = root
     blocks: list[tuple[_Node, str]] = []
     parts: list[str] = []
@@ -91,16 +93,9 @@ def extract(page: str | None) -> str:
                 home = now
                 while home.tag not in _BLOCK and home.parent is not None:
                     home = home.parent
-                k = len(blocks)
                 blocks.append((home, text))
-                n, up = len(text), home
-                while up is not None:
-                    up.chars += n
-                    up.linked += min(n, linked)
-                    if up.first < 0:
-                        up.first = k
-                    up.last = k
-                    up = up.parent
+                home.chars += len(text)
+                home.linked += min(len(text), linked)
         linked = 0
 
     while pos < end:
@@ -157,13 +152,20 @@ def extract(page: str | None) -> str:
         if drop and not now.drop:
             flush()
         now = _Node(tag, now, hint, drop or now.drop)
+        now.number = now.last = len(nodes)
+        nodes.append(now)
         depth_a += tag == "a"
         article += tag in ("article", "main")
     flush()
-    return _assemble(blocks, root)
+    # a closed element is never opened again, so descendants follow each other: sums and intervals take one pass
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
+        n.parent.last = max(n.parent.last, n.last)
+    return _assemble(blocks, nodes)
 
 
-def _assemble(blocks: list[tuple[_Node, str]], root: _Node) -> str:
+def _assemble(blocks: list[tuple[_Node, str]], nodes: list[_Node]) -> str:
     if not blocks:
         return ""
     scored: dict[int, _Node] = {}
@@ -194,23 +196,17 @@ def _assemble(blocks: list[tuple[_Node, str]], root: _Node) -> str:
 
     best = max(scored.values(), key=final)
     limit = max(2.0, final(best) * 0.2)
+    siblings = [n for n in nodes if n.parent is best.parent and n is not best] if best.parent is not None else []
+    starts = [n.number for n in siblings]
     out = []
-    for k, (home, text) in enumerate(blocks):
-        if best.first <= k <= best.last:
-            at, inside = home, False
-            while at is not None:
-                if at is best:
-                    inside = True
-                    break
-                at = at.parent
-            if inside:
-                out.append(text)
-                continue
-        at = home
-        while at is not None and at.parent is not best.parent:
-            at = at.parent
-        if at is None or at is best or best.parent is None:
+    for home, text in blocks:
+        if best.number <= home.number <= best.last:
+            out.append(text)
+            continue
+        k = bisect_right(starts, home.number) - 1
+        if k < 0 or home.number > siblings[k].last:
             continue
+        at = siblings[k]
         density = at.linked / max(1, at.chars)
         if (id(at) in scored and final(at) >= limit and density < 0.25) or (at.tag == "p" and at.chars > 80 and density < 0.25):
             out.append(text)
