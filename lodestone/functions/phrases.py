@@ -95,15 +95,18 @@ _WORD_AFTER = f"([^{MARKS}]*)"
 FIRST, LAST, VERB, LONE = f"^.{_WORD_AFTER}", f"[{MARKS}]{_WORD_AFTER}$", f"{_marks('V')}{_WORD_AFTER}", f"^.*[{_marks('XMR')}]{_WORD_AFTER}"
 
 
-def _base(w: Column) -> Column:
-    low = F.lower(w)
+def _base(w: Column, low: Column) -> Column:
+    """The class of a word, given its lower-case form too, on its own."""
     out = F.when(low.isin(KNOWN["N"].split()), "N")
     for k, words in KNOWN.items():
         if k != "N":
             out = out.when(low.isin(words.split()), k)
-    out = out.when(w.rlike(r"^(\p{P}|-|')$"), "S").when(w.rlike(r"^\p{Lu}"), "N")
+    out = out.when((F.length(w) == 1) & w.rlike(r"^(\p{P}|-|')$"), "S").when(w.rlike(r"^\p{Lu}"), "N")
     for k, ends in ENDINGS.items():
-        out = out.when(low.rlike(f"({ends.replace(' ', '|')})$"), k)
+        hit = F.lit(False)
+        for e in ends.split():
+            hit = hit | F.endswith(low, F.lit(e))
+        out = out.when(hit, k)
     return out.otherwise("N")
 
 
@@ -112,7 +115,8 @@ def tagged(text: Column) -> Column:
 
     After a determiner, adjective or adverb, and after "of", a verb is a noun; after a modal and after "to", a noun is a verb."""
     words = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), _base(w).alias("b")))
+    lowered = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).alias("low")))
+    pairs = F.transform(lowered, lambda x: F.struct(x["w"].alias("w"), _base(x["w"], x["low"]).alias("b")))
 
     def settle(all_pairs: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
