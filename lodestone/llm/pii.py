@@ -306,7 +306,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     k = len(LABELS)
     sample = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = sample.count()
-    part = sample.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, TRAIN_DOCS / max(1, n))))
+    # 40 bits of the hash: fine enough for the share of any number of documents
+    place = F.pmod("h", F.lit(1 << 20)) * (1 << 20) + F.pmod(F.shiftrightunsigned("h", 20), F.lit(1 << 20))
+    part = sample.filter(place < int((1 << 40) * min(1.0, TRAIN_DOCS / max(1, n))))
     rows = part.select("h", "text").mapInArrow(_examples, _EXAMPLE_DDL).orderBy("place", "core", "before", "after", "label", "prior").limit(TRAIN_WORDS).collect()
     if not rows:
         return Field(np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))
