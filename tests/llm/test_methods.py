@@ -152,6 +152,20 @@ def test_groups_of_near_copies_are_not_squared(copies):
     assert whole.num_rows == copies * (copies - 1) // 2
 
 
+def test_centres_lose_no_partner(spark):
+    rng = random.Random(5)
+    names = [f"v{i}" for i in range(4000)]
+    low = line_dedup.Words(pa.array([" ".join(names)])).hashes() & np.uint64(63)
+    rare, *pool = [w for w, k in zip(names, low, strict=True) if k == 0][:21]  # one parity bit for all: every pair passes the filters
+    lines = [[rare, *c] for c in rng.sample(list(itertools.combinations(pool, 4)), 300)]
+    lines.insert(25, lines[20][:4])  # similar to line 20 only, after 20 others that pass the filters
+    texts = [" ".join(w) for w in lines] + [" ".join(pool * 1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    want = {b for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 25 in want and {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == want
+
+
 def test_hot_words_meet_in_pieces():
     head = pa.array([np.array([7 << 40], np.uint64).tobytes()] * 30, pa.binary())
     batch = pa.RecordBatch.from_arrays(
