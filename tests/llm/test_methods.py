@@ -4,13 +4,16 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.checkpoints import Scratch
 from lodestone.llm import decontam, line_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,6 +169,47 @@ def test_centres_lose_no_partner(spark):
     assert 25 in want and {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == want
 
 
+def test_unlike_long_lines_are_no_candidates():
+    rng = random.Random(3)
+    texts = [" ".join(["rare", *(f"v{rng.randrange(5000)}" for _ in range(150))]) for _ in range(200)]
+    like = texts[7].split()
+    like[9] = "changed"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(201), pa.int64()), pa.array([*texts, " ".join(like)])], names=["id", "text"])
+    ranks = np.arange(1 << line_dedup.BITS)
+    cell = line_dedup._cells(line_dedup.Words(pa.array(["rare"])).hashes())[0]
+    ranks[[0, cell]] = ranks[[cell, 0]]
+    sets = pa.Table.from_batches(line_dedup._line_sets(iter([batch]), ranks, 0.8)).to_pylist()
+    names = ["id", "line", "n", "parity", "head", "open", "wide"]
+    columns = [pa.array([r.get(c, 0) for r in sets], t) for c, t in zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int8(), pa.int64()], strict=True)]
+    dealt = line_dedup._dealt(iter([pa.RecordBatch.from_arrays(columns, names=names)]), np.ones(1 << line_dedup.BITS, np.int64), 1, None)
+    got = line_dedup._pairs(pa.Table.from_batches(dealt), 0.8, False).to_pylist()
+    assert {(r["id"], r["e_id"]) for r in got} == {(200, 7)}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.union1d(rng.choice(a, max(1, int(len(a) * rng.uniform(0.5, 1))), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64))
+        values, widths = line_dedup._parities(np.concatenate((a, b)), np.array([len(a), len(b)]))
+        assert (widths * 32 >= [len(a), len(b)]).all()
+        apart = line_dedup._difference(values[: widths[0]], widths[:1], values[widths[0] :], widths[1:])[0]
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_sweep_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before = files()
+    out = Scratch(spark, "swept", sweep=True).table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_hot_words_meet_in_pieces():
     head = pa.array([np.array([7 << 40], np.uint64).tobytes()] * 30, pa.binary())
     batch = pa.RecordBatch.from_arrays(
