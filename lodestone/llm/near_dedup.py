@@ -46,6 +46,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8  # a pair of similarity 0.8 shares no band with probability 6e-4, of 0.85 3e-6
 PARITY = 16  # 64-bit integers of parities
+SLICE = 1 << 18  # bytes of text at once: a worker's arrays are some hundred times as large
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +142,7 @@ _SIG_DDL = "id long, k1 long, k2 long, size int, bands array<long>, parity array
 
 def signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """id, two 64-bit hashes of all words, band keys; rows without words or id are left out."""
-    for b in slices(batches, 1, 1 << 20):
+    for b in slices(batches, 1, SLICE):
         b = b.filter(pa.compute.is_valid(b.column(0)))
         w = Words(b.column(1))
         has = np.flatnonzero(w.count > 0)
@@ -183,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """(u, v) of the pairs (a, b) whose texts are similar enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, 2, 1 << 20):
+        for s in slices(batches, 2, SLICE):
             ok = _similarities(s.column(2), s.column(3)) >= threshold
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], names=["u", "v"]).filter(pa.array(ok))
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.checkpoints import Scratch
-from lodestone.llm import decontam, line_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
+from lodestone.llm import _text, decontam, line_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -228,6 +229,21 @@ def test_hot_words_meet_in_pieces():
     assert met == {(a, b) for a in range(30) for b in range(a)}
 
 
+# ---- near-duplicates
+def test_signatures_hold_little_memory():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(350)) for _ in range(1200)]  # 2 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    kept = dict(_text._POWERS)
+    _text._POWERS.clear()  # as in a fresh worker
+    tracemalloc.start()
+    n = sum(b.num_rows for b in near_dedup.signatures(iter([batch]), near_dedup.BANDS, near_dedup.ROWS))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _text._POWERS.update(kept)
+    assert n == len(texts) and most < 64e6, most
+
+
 # ---- names
 def test_clashing_columns(spark):
     names = ["gone_id", "gone", "again_id", "m_place", "m_full", "m_rest", "m_order", "m_range", "m_edge", "m_before", "m_sum", "m_copies", "m_tokens", "m_domain", "m_epoch", "_shard", "_shard_id"]
