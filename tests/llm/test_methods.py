@@ -211,6 +211,32 @@ def test_sweep_leaves_no_shuffle_files(spark):
     assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_lines_hold_little_memory():
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(4000)}" for _ in range(35)) for _ in range(10)) for _ in range(1200)]  # 2 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    kept = dict(_text._POWERS)
+    _text._POWERS.clear()  # as in a fresh worker
+    tracemalloc.start()
+    n = sum(b.num_rows for b in line_dedup._line_sets(iter([batch]), np.arange(1 << line_dedup.BITS), 0.8))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _text._POWERS.update(kept)
+    assert n == 10 * len(texts) and most < 64e6, most
+
+
+def test_pairs_hold_little_memory():
+    n = 4096  # one word's sets: 8 million pairs are looked at, none is possible
+    rng = np.random.default_rng(9)
+    values = {"id": np.arange(n), "line": np.zeros(n), "n": np.full(n, 20), "at": np.zeros(n), "parity": rng.integers(0, 1 << 63, n), "word": np.zeros(n), "open": np.ones(n)}
+    table = pa.table({"p": pa.array([0], pa.int32()), **{c: pa.array([values[c].astype(t).tobytes()], pa.binary()) for c, t in zip(line_dedup._PACKED, line_dedup._TYPES, strict=True)}})
+    tracemalloc.start()
+    out = line_dedup._pairs(table, 0.8, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not out.num_rows and most < 48e6, most
+
+
 def test_hot_words_meet_in_pieces():
     head = pa.array([np.array([7 << 40], np.uint64).tobytes()] * 30, pa.binary())
     batch = pa.RecordBatch.from_arrays(
