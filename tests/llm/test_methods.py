@@ -255,6 +255,31 @@ def test_hot_words_meet_in_pieces():
     assert met == {(a, b) for a in range(30) for b in range(a)}
 
 
+@pytest.mark.parametrize("many", [1, 256])
+def test_line_dedup_is_native_and_whole(spark, monkeypatch, many):
+    def python(*_):
+        raise AssertionError("Python on the executors")
+
+    for name, kind in (("mapInArrow", type(spark.range(1))), ("applyInArrow", type(spark.range(1).groupBy()))):
+        monkeypatch.setattr(kind, name, python)
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefgh") + str(int(rng.paretovariate(0.7)) % 60) for _ in range(rng.randint(1, 90))] for _ in range(12)]
+    texts = []
+    for _ in range(120):  # near copies, among them large groups with one line in common
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            words = list(rng.choice([base[0], base[1], rng.choice(base)]))
+            for _ in range(rng.randint(0, max(1, len(words) // 6))):
+                words[rng.randrange(len(words))] = "x" + str(rng.randint(0, 400))
+            lines.append(rng.choice([" ", "  ", "\t", "\r\x0b\x0c"]).join(rng.choice([[], [""]]) + words))
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [(i, n, set(line.split())) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
+    want = {(i, n) for k, (i, n, s) in enumerate(lines) if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for _, _, o in lines[:k])}
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.duplicates(docs, many=many).collect()}
+    assert got == want and 20 < len(want) < len(lines) - 20
+
+
 # ---- near-duplicates
 def test_signatures_hold_little_memory():
     rng = random.Random(6)
