@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lodestone.llm.decontam import op2_decontamination
+from lodestone.llm.fill_middle import op11_fill_middle
+from lodestone.llm.fill_middle import oracle as fill_middle_oracle
 from lodestone.llm.html_text import op4_html_extraction
 from lodestone.llm.line_dedup import op6_line_dedup
 from lodestone.llm.mixing import op5_mixing
@@ -27,6 +29,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle()}
+ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle(), "op11_fill_middle": fill_middle_oracle()}
