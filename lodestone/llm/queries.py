@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lodestone.llm.decontam import op2_decontamination
+from lodestone.llm.exact_dedup import op12_exact_dedup
+from lodestone.llm.exact_dedup import oracle as exact_oracle
 from lodestone.llm.fill_middle import op11_fill_middle
 from lodestone.llm.fill_middle import oracle as fill_middle_oracle
 from lodestone.llm.html_text import op4_html_extraction
@@ -30,6 +32,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_extendible_sharding": op10_extendible_sharding,
     "op11_fill_middle": op11_fill_middle,
+    "op12_exact_dedup": op12_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle(), "op11_fill_middle": fill_middle_oracle()}
+ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle(), "op11_fill_middle": fill_middle_oracle(), "op12_exact_dedup": exact_oracle()}
