@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lodestone.llm.collocations import op13_collocations
+from lodestone.llm.collocations import oracle as collocations_oracle
 from lodestone.llm.decontam import op2_decontamination
 from lodestone.llm.exact_dedup import op12_exact_dedup
 from lodestone.llm.exact_dedup import oracle as exact_oracle
@@ -33,6 +35,7 @@ QUERIES = {
     "op10_extendible_sharding": op10_extendible_sharding,
     "op11_fill_middle": op11_fill_middle,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle(), "op11_fill_middle": fill_middle_oracle(), "op12_exact_dedup": exact_oracle()}
+ORACLES = {"op5_mixing": mixing_oracle(), "op10_extendible_sharding": sharding_oracle(), "op11_fill_middle": fill_middle_oracle(), "op12_exact_dedup": exact_oracle(), "op13_collocations": collocations_oracle()}
