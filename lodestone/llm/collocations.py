@@ -39,9 +39,9 @@ from lodestone.llm.batches import slices
 
 MOST_WORDS, LEAST, TOP, SCALE, SUBSUMED = 4, 30, 2000, 2_000_000, (100, 80)
 CELL_BITS, RANGE_BITS = 28, 20
-SLICE = 4 << 20  # bytes of text at once
-PENDING = 8 << 20  # cells of a line that a task holds before it writes them
-ENTRIES = 300_000  # survivors of which a task adds up the counts before it hands them on
+SLICE = 2 << 20  # bytes of text at once
+PENDING = 3 << 20  # cells of a line that a task holds before it writes them
+ENTRIES = 150_000  # survivors of which a task adds up the counts before it hands them on
 STEP = 1000  # packed ranges that one task merges
 UNKNOWN = "und"
 _PIECES = 64  # of a language's phrases, each ranked alone before they meet
