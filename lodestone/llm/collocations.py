@@ -12,8 +12,8 @@ one bit for each cell, 2 * 2**CELL_BITS / 8 bytes at most whatever the input.
 
 Second pass: a phrase survives if both its cells are frequent and both phrases that are one
 word shorter survive.  Survivors are counted exactly: words are numbered by an exact
-dictionary, phrases by pairs of numbers, counts are added up in the task and then by the
-phrase itself.  All parts of a frequent phrase are at least as frequent, so every count that a
+dictionary, phrases by pairs of numbers; counts are added up in the task, packed, added up
+again by ranges of phrases, and then by the phrase itself.  All parts of a frequent phrase are at least as frequent, so every count that a
 score needs is there.  Larger inputs fill the cells more; that makes more survivors, and no
 frequent phrase is lost.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ MOST_WORDS, LEAST, TOP, SCALE, SUBSUMED = 4, 30, 2000, 2_000_000, (100, 80)
 CELL_BITS, RANGE_BITS = 28, 20
 SLICE = 2 << 20  # bytes of text at once
 PENDING = 3 << 20  # cells of a line that a task holds before it writes them
-ENTRIES = 150_000  # survivors of which a task adds up the counts before it hands them on
+ENTRIES = 400_000  # survivors of which a task adds up the counts before it hands them on
+RANGES = 64  # of survivors at least, each added up by one task before they meet by phrase
 STEP = 1000  # packed ranges that one task merges
 UNKNOWN = "und"
 _PIECES = 64  # of a language's phrases, each ranked alone before they meet
@@ -127,6 +129,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), np.ascontiguousarray(planes[4 * n :].reshape(2, n).T).view(np.uint16).ravel()
 
 
+def _pack_phrases(phrases: list[bytes], times: list[int]) -> bytes:
+    """Phrases, which hold no line end, and their counts."""
+    raw = b"\n".join(phrases)
+    return len(phrases).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + pa.compress(np.array(times, np.int64).tobytes() + raw, _CODEC, asbytes=True)
+
+
+def _unpack_phrases(blob: bytes) -> Iterator[tuple[bytes, int]]:
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    raw = pa.decompress(blob[8:], 8 * n + size, _CODEC, asbytes=True)
+    return zip(raw[8 * n :].split(b"\n"), np.frombuffer(raw[: 8 * n], np.int64).tolist(), strict=True)
+
+
 _SKETCH = pa.schema([("line", pa.int32()), ("range", pa.int32()), ("packed", pa.binary())])
 
 
@@ -229,14 +243,19 @@ def _hit(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, bits: int = CELL_BITS) -> DataFrame:
     """(lang, size, phrase, f): exact counts of all phrases of 1 to 4 words that occur ``least`` times or more; size 0: all words."""
-    token, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, scratch, least, bits))
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())])
-
-    def batch(held: dict) -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(held.values()), pa.int64())], schema=schema,
-        )
+    cells = frequent_cells(docs, scratch, least, bits)
+    token, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(cells)
+    step = max(1, (1 << min(bits, RANGE_BITS)) // 8)
+    frequent = sum(int(np.bitwise_count(np.frombuffer(pa.decompress(c, step, _CODEC, asbytes=True), np.uint8)).sum()) for (line, _), c in cells.items() if not line)
+    dealt = max(RANGES, frequent >> 16)
+
+    def packed(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, phrases in held.items():
+            by: dict[int, list[bytes]] = {}
+            for p in phrases:
+                by.setdefault(zlib.crc32(p) % dealt, []).append(p)
+            blobs = [_pack_phrases(ps, [phrases[p] for p in ps]) for ps in by.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(by), pa.string()), pa.array(list(by), pa.int32()), pa.array(blobs, pa.binary())], names=["lang", "range", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, held = _bitmaps(token, sent.value, bits), {}
@@ -244,8 +263,9 @@ def counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, bits: int = CE
             p = Phrases(b.column(1))
             names, lang, seeds = _languages(b.column(0))
             of = lang[p.doc]
+            counted = [held.setdefault(n, {}) for n in names]
             for i, n in enumerate(np.bincount(of, minlength=len(names)).tolist()):
-                held[(names[i], 0, b"")] = held.get((names[i], 0, b""), 0) + n
+                counted[i][b""] = counted[i].get(b"", 0) + n
             lexicon, before, number = p.lexicon.to_pylist(), np.ones(len(p.word) + 1, bool), of
             for k, h in enumerate(p.hashes(seeds), 1):
                 m = len(h)
@@ -258,15 +278,35 @@ def counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, bits: int = CE
                 before[at], number[at] = True, dense
                 where = at[first]
                 for s, w, n in zip(of[where].tolist(), zip(*(p.word[where + j].tolist() for j in range(k)), strict=True), times.tolist(), strict=True):
-                    one = (names[s], k, b" ".join([lexicon[x] for x in w]))
-                    held[one] = held.get(one, 0) + n
-            if len(held) >= ENTRIES:
-                yield batch(held)
+                    one = b" ".join([lexicon[x] for x in w])
+                    counted[s][one] = counted[s].get(one, 0) + n
+            if sum(map(len, held.values())) >= ENTRIES:
+                yield from packed(held)
                 held = {}
+        yield from packed(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a language and range added up, handed on when there are very many."""
+        now, held = None, {}
+
+        def batch() -> pa.RecordBatch:
+            keys = list(held)
+            sizes = [k.count(b" ") + 1 if k else 0 for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(keys), pa.string()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["lang", "size", "phrase", "f"])
+
+        for b in batches:
+            for key, blob in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True):
+                if held and (key != now or len(held) >= ENTRIES):
+                    yield batch()
+                    held.clear()
+                now = key
+                for p, n in _unpack_phrases(blob):
+                    held[p] = held.get(p, 0) + n
         if held:
-            yield batch(held)
+            yield batch()
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase binary, f long")
+    parts = docs.select("lang", "text").mapInArrow(run, "lang string, range int, packed binary")
+    found = parts.repartition("lang", "range").sortWithinPartitions("lang", "range").mapInArrow(add, "lang string, size int, phrase binary, f long")
     sums = found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
     return scratch.table(sums.filter(f"size = 0 OR f >= {int(least)}"), "counts")
 
