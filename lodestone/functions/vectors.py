@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, PIECE = 1024, 16_384
 
 
 def dot(a: str, b: str) -> Column:
@@ -75,37 +74,52 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(query, id, cosine): in every group of keys, for each query the k nearest rows but itself.
+    rows: keys, id, v; asked: keys, query, qv.  Both sides of a group are held in one task, so
+    the caller deals large ones over pieces and blocks; nothing passes through the driver."""
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
+
+    def top(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, of = left["id"].to_numpy(), right["query"].to_numpy()
+        s = _unit(right["qv"]) @ _unit(left["v"]).T
+        s[of[:, None] == ids[None, :]] = -np.inf
+        best = _first(s, ids, k)
+        n = np.repeat(np.arange(len(of)), [len(b) for b in best])
+        at = np.concatenate(best)
+        return pa.table([of[n], ids[at], s[n, at]], schema=schema)
+
+    return rows.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query", "qv").groupBy(*keys)).applyInArrow(top, "query long, id long, cosine double")
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", within: str | None = None) -> DataFrame:
     """(query, id, cosine, rank) by exact search; with ``within``, among rows that share the query's value of that column.
-    Blocks of at most QUERY_BLOCK queries are held against all vectors in one pass each; every batch keeps k per
-    query before the shuffle.  Null vectors and ids take no part."""
+    A grid of pieces of at most about PIECE rows and blocks of at most about QUERY_BLOCK queries: every task
+    holds one block against one piece and keeps k per query.  Null vectors and ids take no part."""
     has = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
-    scope = [F.col(within).cast("string").alias("scope")] if within else [F.lit("").alias("scope")]
-    rows = vectors.filter(has).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *scope)
-    asked = queries.filter(has).select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), *scope)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "qv", "scope")).alias("q")).orderBy("block")
-    out = None
-    for part in packed.toLocalIterator():  # one block at a time
-        block = pd.DataFrame([r.asDict() for r in part["q"]])
-        ids, m, of = block["query"].to_numpy(), _matrix(block["qv"]), block["scope"].to_numpy()
-
-        def top(frames: Iterator[pd.DataFrame], ids=ids, m=m, of=of) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    s = m @ _matrix(f["v"]).T
-                    s[(ids[:, None] == f["id"].to_numpy()[None, :]) | (of[:, None] != f["scope"].to_numpy()[None, :])] = -np.inf
-                    best = _first(s, f["id"].to_numpy(), k)
-                    of_query = np.repeat(np.arange(len(ids)), [len(b) for b in best])
-                    at = np.concatenate(best) if len(best) else np.zeros(0, int)
-                    yield pd.DataFrame({"query": ids[of_query], "id": f["id"].to_numpy()[at], "cosine": s[of_query, at]})
-
-        one = rows.mapInPandas(top, "query long, id long, cosine double")
-        out = one if out is None else out.union(one)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query long, id long, cosine double, rank int")
+    scope = F.coalesce(F.col(within).cast("string"), F.lit("\\N")) if within else F.lit("")
+    rows = vectors.filter(has).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), scope.alias("scope"))
+    asked = queries.filter(has).select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("qv"), scope.alias("scope"))
+    pieces, blocks = max(1, -(-rows.count() // PIECE)), max(1, -(-asked.count() // QUERY_BLOCK))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces))).withColumn("block", all_of(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("piece", all_of(pieces))
+    return ranked(meet(rows, asked, ["scope", "piece", "block"], k), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """found with ``rank``: of each query's rows the k with the highest cosine (9 decimals), then the least ids."""
     w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, k: int, balance: float) -> DataFrame:

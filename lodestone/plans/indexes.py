@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
-from lodestone.operators import inverted
+from lodestone.operators import inverted, vector_index
 from lodestone.plans.catalogue import _t, query
 from lodestone.plans.search import _QUERY, _search_sql
 
@@ -35,3 +35,42 @@ def qgram_index_postings(spark, d):
     """The documents and places of every gram in the index."""
     rows = _index(spark, d).postings(spark).filter(~F.contains("gram", F.lit("\0")))
     return rows.groupBy("gram").agg(F.sum("n").alias("documents"), F.sum(F.size("places")).alias("occurrences"))
+
+
+# ---- the vector index: cells, codes, rerank
+_KNN10 = """SELECT query, id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rank
+ FROM (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.v::DOUBLE[], e.v::DOUBLE[]) AS c FROM {t} q JOIN {t} e ON q.vec_id <> e.vec_id{on} WHERE q.vec_id % 100 = 0) QUALIFY rank <= {k}"""
+
+
+def _found(hits):
+    return hits.select("query", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_index_search(spark, d):
+    """The ten nearest by as many cells as find 95 % of the neighbours of a sample."""
+    e = _t(spark, d, "embeddings")
+    index = vector_index.tune(vector_index.build(e, Scratch(spark, "vectors").root), spark)
+    return _found(vector_index.search(index, e.filter("vec_id % 100 = 0"), 10))
+
+
+@query("WITH t AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 11 <> 3) " + _KNN10.format(t="t", on="", k=10))
+def vector_index_updated(spark, d):
+    """An index of six sevenths of the rows, read again, with the rest added and every eleventh row deleted; all cells are asked."""
+    e, root = _t(spark, d, "embeddings"), Scratch(spark, "vectors").root
+    vector_index.build(e.filter("vec_id % 7 <> 0"), root)
+    index = vector_index.load(spark, root)
+    vector_index.upsert(index, e.filter("vec_id % 7 = 0"))
+    vector_index.delete(index, e.filter("vec_id % 11 = 3"))
+    return _found(vector_index.search(index, e.filter("vec_id % 100 = 0 AND vec_id % 11 <> 3"), 10, probes=len(index.centres)))
+
+
+@query("WITH t AS (SELECT vec_id, embedding[1:CASE WHEN label % 2 = 0 THEN 64 ELSE 32 END] AS v FROM embeddings) " + _KNN10.format(t="t", on=" AND len(q.v) = len(e.v)", k=5))
+def vector_routed_by_dimension(spark, d):
+    """One index for each length of vectors; a query asks that of its own length."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), F.when(F.col("label") % 2 == 0, F.lit(64)).otherwise(F.lit(32))).alias("embedding"))
+    out = None
+    for n, index in vector_index.by_dimension(e, Scratch(spark, "vectors").root).items():
+        hits = vector_index.search(index, e.filter((F.col("vec_id") % 100 == 0) & (F.size("embedding") == n)), 5, probes=len(index.centres))
+        out = hits if out is None else out.unionByName(hits)
+    return _found(out)
