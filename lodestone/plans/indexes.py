@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
-from lodestone.operators import inverted, vector_index
+from lodestone.operators import inverted, summary_tree, vector_index
 from lodestone.plans.catalogue import _t, query
 from lodestone.plans.search import _QUERY, _search_sql
 
@@ -74,3 +74,26 @@ def vector_routed_by_dimension(spark, d):
         hits = vector_index.search(index, e.filter((F.col("vec_id") % 100 == 0) & (F.size("embedding") == n)), 5, probes=len(index.centres))
         out = hits if out is None else out.unionByName(hits)
     return _found(out)
+
+
+# ---- trees of summaries over the documents of each language
+def _tree(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    leaves = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text").join(e, "id")
+    return summary_tree.build(leaves)
+
+
+@query()
+def summary_tree_edges(spark, d):
+    """Every leaf and inner node with its parent, and the size of the parent's summary."""
+    tree = _tree(spark, d)
+    parents = tree.nodes.select("grp", F.col("node").alias("parent"), "level", F.length("text").alias("summary"))
+    return tree.edges.join(parents, ["grp", "parent"]).select("grp", "child", "parent", "level", "summary")
+
+
+@query()
+def summary_tree_search(spark, d):
+    """The five best leaves below the inner nodes that a query is near to, with the parents that they stand under."""
+    asked = _t(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    hits = summary_tree.search(_tree(spark, d), asked, 5)
+    return hits.select("query", "grp", "node", F.round("cosine", 6).alias("cosine"), "parents", F.col("rank").cast("long").alias("rank"))
