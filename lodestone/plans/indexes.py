@@ -1,11 +1,12 @@
-"""Queries of stored indexes and their DuckDB twins."""
+"""Queries of stored indexes, matchers and resolvers, and their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
-from lodestone.operators import inverted, summary_tree, vector_index
+from lodestone.functions import matching
+from lodestone.operators import inverted, references, summary_tree, vector_index
 from lodestone.plans.catalogue import _t, query
 from lodestone.plans.search import _QUERY, _search_sql
 
@@ -97,3 +98,41 @@ def summary_tree_search(spark, d):
     asked = _t(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
     hits = summary_tree.search(_tree(spark, d), asked, 5)
     return hits.select("query", "grp", "node", F.round("cosine", 6).alias("cosine"), "parents", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- known surfaces: the first two and three words of every benchmark item, in all documents
+_CANON = r"trim(regexp_replace(translate(lower({}), '’‘–—', '''''--'), '[^\p{{L}}\p{{Nd}}''\-·._/#&]+', ' ', 'g'))"
+
+
+@query(f"""WITH b AS (SELECT item_id, string_split({_CANON.format('text')}, ' ') AS w FROM benchmark),
+ x AS (SELECT surface, min(item_id) AS entity FROM (SELECT item_id, array_to_string(w[1:k], ' ') AS surface FROM b, (SELECT unnest([2, 3]) AS k) WHERE len(w) >= k) GROUP BY surface),
+ t AS (SELECT doc_id, string_split({_CANON.format('text')}, ' ') AS w FROM documents),
+ g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM t, (SELECT unnest([2, 3]) AS k) WHERE len(w) >= k)
+ SELECT doc_id, (i - 1)::INTEGER AS word, surface, entity, true AS same FROM (SELECT doc_id, i, array_to_string(w[i:i + k - 1], ' ') AS surface FROM g) JOIN x USING (surface)""")
+def dictionary_matches(spark, d):
+    """Every place of a known surface, overlapping ones too; ``same`` says that the original text there has the surface's form."""
+    words = F.split(matching.canonical(F.col("text")), " ")
+    surfaces = F.array(*[F.when(F.size(words) >= k, F.array_join(F.slice(words, 1, k), " ")) for k in (2, 3)])
+    lexicon = _t(spark, d, "benchmark").select(F.explode(surfaces).alias("surface"), F.col("item_id").alias("entity")).filter("surface IS NOT NULL")
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    found = matching.matches(docs, lexicon).join(docs, "doc_id")
+    there = matching.canonical(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    return found.select("doc_id", "word", "surface", "entity", (there == F.col("surface")).alias("same"))
+
+
+# ---- pronouns: names are capitalised words, their gender (as a registry would hold it) goes by their length
+_GENDER = "CASE length(entity) % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'N' WHEN 3 THEN 'P' ELSE 'U' END"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS place FROM documents),
+ k AS (SELECT doc_id, place, word, CASE WHEN lower(word) IN ('he', 'him', 'his') THEN 'M' WHEN lower(word) IN ('she', 'her', 'hers') THEN 'F' WHEN lower(word) IN ('it', 'its') THEN 'N' WHEN lower(word) IN ('they', 'them', 'their') THEN 'P' END AS pronoun FROM w),
+ m AS (SELECT doc_id, place, word AS entity FROM k WHERE pronoun IS NULL AND regexp_full_match(word, '[A-Z][a-z]{{3,}}')), p AS (SELECT doc_id, place, pronoun FROM k WHERE pronoun IS NOT NULL),
+ l AS (SELECT p.doc_id, p.place, p.pronoun, m.entity, max(m.place) AS last FROM p JOIN m ON m.doc_id = p.doc_id AND m.place < p.place GROUP BY ALL),
+ h AS (SELECT *, {_GENDER} AS gender, row_number() OVER (PARTITION BY doc_id, place ORDER BY last DESC) AS back FROM l),
+ r AS (SELECT doc_id, place, arg_max(entity, last) AS entity FROM h WHERE back <= 10 AND (gender IN (pronoun, 'U') OR (pronoun = 'P' AND gender = 'N')) GROUP BY ALL)
+ SELECT p.doc_id, p.place::INTEGER AS place, p.pronoun, r.entity FROM p LEFT JOIN r USING (doc_id, place)""")
+def pronoun_resolution(spark, d):
+    """What every pronoun stands for: the most recent of the last ten entities whose gender goes with it."""
+    found = references.mentions(_t(spark, d, "documents"))
+    registry = found.select("entity").distinct().filter("entity IS NOT NULL").select("entity", F.expr(_GENDER).alias("gender"))
+    return references.resolve(found, registry).withColumnRenamed("id", "doc_id")
