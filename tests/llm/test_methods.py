@@ -139,28 +139,21 @@ def test_every_stratum_gets_cutoffs(spark):
 
 
 # ---- line groups
-def _table(rows):
-    cols = list(zip(*rows, strict=True))
-    return pa.table({"p": pa.array([0]), **{c: pa.array([np.array(v, t).tobytes()], pa.binary()) for c, v, t in zip(line_dedup._PACKED, cols, line_dedup._TYPES, strict=True)}})
-
-
-@pytest.mark.parametrize("copies", [20, 400])
-def test_groups_of_near_copies_are_not_squared(copies):
-    rows = [(i, 0, 10, 0, (1 << 63) >> (i % 2), 5, 1) for i in range(copies)]  # similar enough by all filters
-    got = line_dedup._pairs(_table(rows), 0.8, False).to_pylist()
-    pairs = [(r["id"], r["e_id"]) for r in got if r["e_id"] is not None]
-    flagged = {r["id"] for r in got if r["e_id"] is None}
-    assert len(pairs) <= line_dedup.FEW * copies and {a for a, _ in pairs} == set(range(1, copies))
-    assert flagged >= set(range(line_dedup.CENTRES + 1, copies))
-    whole = line_dedup._pairs(_table(rows), 0.8, True)
-    assert whole.num_rows == copies * (copies - 1) // 2
+def test_hot_groups_of_near_copies_are_not_squared(spark):
+    """Against the centres of a key, candidates follow the sets; all pairs of them would be 79,800."""
+    rows = [(5, i, 0, 10, 0, 0, 0) for i in range(400)]  # similar enough by all filters
+    sets = spark.createDataFrame(rows, "key long, id long, line int, n int, at int, parity long, wide long")
+    centres = sets.filter(F.col("id") < line_dedup.CENTRES)
+    found = line_dedup._candidates(sets, centres, 0.8, "x").union(line_dedup._candidates(centres, sets, 0.8, "y")).distinct().collect()
+    assert len(found) <= line_dedup.CENTRES * 400 and {r["id"] for r in found} == set(range(1, 400))
+    assert all(r["e_id"] < r["id"] for r in found)
 
 
 def test_centres_lose_no_partner(spark):
     rng = random.Random(5)
     names = [f"v{i}" for i in range(4000)]
-    low = line_dedup.Words(pa.array([" ".join(names)])).hashes() & np.uint64(63)
-    rare, *pool = [w for w, k in zip(names, low, strict=True) if k == 0][:21]  # one parity bit for all: every pair passes the filters
+    words = spark.createDataFrame([(w,) for w in names], "w string").filter("pmod(xxhash64(w), 64) = 0")
+    rare, *pool = sorted(r["w"] for r in words.collect())[:21]  # one parity bit for all: every pair passes the filters
     lines = [[rare, *c] for c in rng.sample(list(itertools.combinations(pool, 4)), 300)]
     lines.insert(25, lines[20][:4])  # similar to line 20 only, after 20 others that pass the filters
     texts = [" ".join(w) for w in lines] + [" ".join(pool * 1000)]
@@ -170,35 +163,37 @@ def test_centres_lose_no_partner(spark):
     assert 25 in want and {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == want
 
 
-def test_unlike_long_lines_are_no_candidates():
+@pytest.mark.parametrize("mask", [63, 127])
+def test_parities_bound_the_difference(spark, mask):
+    """Sets differ by at least the number of cells whose parities differ, and by as many modulo two."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(200):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 300))))
+        b = np.union1d(rng.choice(a, max(1, int(len(a) * rng.uniform(0.5, 1))), replace=False), rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, 60))))
+        rows.append((a.tolist(), b.tolist(), len(np.setxor1d(a, b))))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>, apart int")
+    bits = line_dedup._BITS if mask == 63 else [0] * 64 + line_dedup._BITS
+    parity = lambda c: line_dedup._parity(F.col(c), bits, mask)
+    got = pairs.select("apart", F.bit_count(parity("a").bitwiseXOR(parity("b"))).alias("bound")).collect()
+    assert all(r["bound"] <= r["apart"] for r in got) and any(r["bound"] > 20 for r in got)
+    assert mask == 127 or all((r["bound"] - r["apart"]) % 2 == 0 for r in got)
+
+
+def test_unlike_long_lines_are_no_candidates(spark):
     rng = random.Random(3)
     texts = [" ".join(["rare", *(f"v{rng.randrange(5000)}" for _ in range(150))]) for _ in range(200)]
     like = texts[7].split()
     like[9] = "changed"
-    batch = pa.RecordBatch.from_arrays([pa.array(range(201), pa.int64()), pa.array([*texts, " ".join(like)])], names=["id", "text"])
-    ranks = np.arange(1 << line_dedup.BITS)
-    cell = line_dedup._cells(line_dedup.Words(pa.array(["rare"])).hashes())[0]
-    ranks[[0, cell]] = ranks[[cell, 0]]
-    sets = pa.Table.from_batches(line_dedup._line_sets(iter([batch]), ranks, 0.8)).to_pylist()
-    names = ["id", "line", "n", "parity", "head", "open", "wide"]
-    columns = [pa.array([r.get(c, 0) for r in sets], t) for c, t in zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int8(), pa.int64()], strict=True)]
-    dealt = line_dedup._dealt(iter([pa.RecordBatch.from_arrays(columns, names=names)]), np.ones(1 << line_dedup.BITS, np.int64), 1, None)
-    got = line_dedup._pairs(pa.Table.from_batches(dealt), 0.8, False).to_pylist()
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(like)])), "id long, text string")
+    ranks = np.arange(1 << line_dedup.CELL_BITS)
+    cell = spark.sql("SELECT shiftrightunsigned(xxhash64('rare'), 48)").first()[0]
+    ranks[[0, cell]] = ranks[[cell, 0]]  # the word that all lines share is the rarest one
+    sets = line_dedup._described(docs, ranks, 0.8)
+    got = line_dedup._candidates(*line_dedup._dealt_out(sets, 0.8), 0.8).distinct().collect()
     assert {(r["id"], r["e_id"]) for r in got} == {(200, 7)}
 
 
-def test_parities_bound_the_difference():
-    rng = np.random.default_rng(4)
-    for _ in range(300):
-        size = int(rng.integers(1, 400))
-        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-        b = np.union1d(rng.choice(a, max(1, int(len(a) * rng.uniform(0.5, 1))), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64))
-        values, widths = line_dedup._parities(np.concatenate((a, b)), np.array([len(a), len(b)]))
-        assert (widths * 32 >= [len(a), len(b)]).all()
-        apart = line_dedup._difference(values[: widths[0]], widths[:1], values[widths[0] :], widths[1:])[0]
-        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
-
-
 def test_sweep_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
@@ -211,50 +206,6 @@ def test_sweep_leaves_no_shuffle_files(spark):
     assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
-def test_lines_hold_little_memory():
-    rng = random.Random(8)
-    texts = ["\n".join(" ".join(f"w{rng.randrange(4000)}" for _ in range(35)) for _ in range(10)) for _ in range(1200)]  # 2 MB
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
-    kept = dict(_text._POWERS)
-    _text._POWERS.clear()  # as in a fresh worker
-    tracemalloc.start()
-    n = sum(b.num_rows for b in line_dedup._line_sets(iter([batch]), np.arange(1 << line_dedup.BITS), 0.8))
-    most = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    _text._POWERS.update(kept)
-    assert n == 10 * len(texts) and most < 64e6, most
-
-
-def test_pairs_hold_little_memory():
-    n = 4096  # one word's sets: 8 million pairs are looked at, none is possible
-    rng = np.random.default_rng(9)
-    values = {"id": np.arange(n), "line": np.zeros(n), "n": np.full(n, 20), "at": np.zeros(n), "parity": rng.integers(0, 1 << 63, n), "word": np.zeros(n), "open": np.ones(n)}
-    table = pa.table({"p": pa.array([0], pa.int32()), **{c: pa.array([values[c].astype(t).tobytes()], pa.binary()) for c, t in zip(line_dedup._PACKED, line_dedup._TYPES, strict=True)}})
-    tracemalloc.start()
-    out = line_dedup._pairs(table, 0.8, True)
-    most = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert not out.num_rows and most < 48e6, most
-
-
-def test_hot_words_meet_in_pieces():
-    head = pa.array([np.array([7 << 40], np.uint64).tobytes()] * 30, pa.binary())
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(range(30), pa.int64()), pa.array([0] * 30, pa.int32()), pa.array([1] * 30, pa.int32()), pa.array([0] * 30, pa.int64()), head, pa.array([1] * 30, pa.int8())],
-        names=["id", "line", "n", "parity", "head", "open"],
-    )
-    pieces = np.full(1 << line_dedup.BITS, 3)
-    met = set()
-    by_group: dict[int, list] = {}
-    for b in line_dedup._dealt(iter([batch]), pieces, 5, None):
-        for r in b.to_pylist():
-            by_group.setdefault(r["p"], []).append(r)
-    for rows in by_group.values():
-        t = pa.Table.from_pylist(rows)
-        met |= {(r["id"], r["e_id"]) for r in line_dedup._pairs(t, 0.8, True).to_pylist()}
-    assert met == {(a, b) for a in range(30) for b in range(a)}
-
-
 @pytest.mark.parametrize("many", [1, 256])
 def test_line_dedup_is_native_and_whole(spark, monkeypatch, many):
     def python(*_):
