@@ -2,7 +2,7 @@
 
 Words are those of the lower-cased text.  Each benchmark item and each item-sized
 window of a document has a 64-bit SimHash of its words.  A fingerprint is cut into
-four 16-bit blocks; two fingerprints at most ``RADIUS`` = 15 bits apart differ in
+six blocks of 11 or 10 bits; two fingerprints at most ``RADIUS`` = 23 bits apart differ in
 at most three bits in one of them, so looking up every item block with up to three
 bits flipped finds all item fingerprints within the radius.  Candidates are then
 compared exactly: weighted Jaccard similarity of the five-word shingle multisets
@@ -34,9 +34,11 @@ from lodestone.llm._names import fresh
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 15
+BLOCKS = (11, 11, 11, 11, 10, 10)  # bits of the blocks of a fingerprint, lowest first
+FLIPS = 3
+RADIUS = (FLIPS + 1) * len(BLOCKS) - 1
 BROADCAST_ROWS = 1_000_000
-_MASKS = [sum(1 << k for k in c) for n in range(4) for c in combinations(range(16), n)]
+_MASKS = [sum(1 << k for k in c) for n in range(FLIPS + 1) for c in combinations(range(max(BLOCKS)), n)]
 _WS = r"[\x20\x09-\x0D]+"
 
 
@@ -67,7 +69,12 @@ def _hashed(words: str) -> Column:
 
 
 def _block(code: Column, k: Column) -> Column:
-    return F.call_function("shiftrightunsigned", code, k * F.lit(16)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    """The k-th block of a fingerprint."""
+    shift, mask = F.lit(0), F.lit(0)
+    for i, width in enumerate(BLOCKS):
+        shift = F.when(k == i, sum(BLOCKS[:i])).otherwise(shift)
+        mask = F.when(k == i, (1 << width) - 1).otherwise(mask)
+    return F.call_function("shiftrightunsigned", code, shift).bitwiseAND(mask).cast("int")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -115,12 +122,13 @@ def matches(
     )).alias("w")).select("id", "w.*").filter(F.size("words") > 0)
     cut = cut.withColumn("hashes", _hashed("words")).withColumn("code", simhash(F.col("hashes"))).withColumn("shingles", shingles_of(F.col("words"))).drop("words", "hashes")
     # multi-index lookup: every item block with up to three bits flipped
-    four = F.explode(F.array(*[F.lit(k) for k in range(4)]))
+    each = F.explode(F.array(*[F.lit(k) for k in range(len(BLOCKS))]))
     masks = F.explode(F.array(*[F.lit(m) for m in _MASKS]))
-    index = item.select("item", "item_words", "item_code", four.alias("k")).withColumn("mask", masks)
+    index = item.select("item", "item_words", "item_code", each.alias("k")).withColumn("mask", masks)
+    index = index.filter(F.col("mask") < F.element_at(F.array(*[F.lit(1 << w) for w in BLOCKS]), F.col("k") + 1))  # the masks of a narrower block
     index = index.select("item", "item_words", "item_code", "k", _block(F.col("item_code"), F.col("k")).bitwiseXOR(F.col("mask")).alias("value"))
-    probe = cut.select("id", "start", "item_words", "code", "shingles", four.alias("k")).withColumn("value", _block(F.col("code"), F.col("k")))
-    near = probe.join(_small(index, 4 * len(_MASKS) * n_items), ["k", "value", "item_words"]).filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
+    probe = cut.select("id", "start", "item_words", "code", "shingles", each.alias("k")).withColumn("value", _block(F.col("code"), F.col("k")))
+    near = probe.join(_small(index, len(BLOCKS) * len(_MASKS) * n_items), ["k", "value", "item_words"]).filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
     near = near.dropDuplicates(["id", "start", "item"]).select("id", "start", "item", "shingles")
     full = near.join(_small(item.select("item", "item_shingles"), n_shingles), "item")
     full = full.withColumn("similarity", _overlap(F.col("shingles"), F.col("item_shingles"))).filter(F.col("similarity") >= threshold)
