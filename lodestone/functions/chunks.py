@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +74,63 @@ def chunked(docs: DataFrame, most: int = 400, overlap: int = 80, family: int = 4
     return plain.mapInPandas(run, "id long, level int, place int, start int, end int, parent int").withColumnRenamed("id", id_col)
 
 
+_WORD = re.compile(r"\w+")
+# Fixed value: the similarity of neighbours below which the topic has changed.
+TOPIC_SHIFT = 0.6
+
+
+def word_counts(text: str, cells: int = 64) -> dict[int, int]:
+    """A vector of a text, by its places that are not 0: its words, in lower case, counted in cells of their hashes."""
+    return Counter(zlib.crc32(w.encode()) % cells for w in _WORD.findall(text.lower()))
+
+
+def _alike(a: dict[int, float], b: dict[int, float]) -> float:
+    m = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return sum(x * b.get(k, 0) for k, x in a.items()) / m if m else 0.0
+
+
+def units(text: str | None, most: int) -> list[tuple[int, int, bool]]:
+    """(start, end, structural): the lines of a text; of a line longer than most its sentences, the last of which is structural as lines are."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        a, b = at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+        at += len(line) + 1
+        if b - a > most:
+            inner = split(line)
+            out += [(at - len(line) - 1 + x, at - len(line) - 1 + y, k == len(inner) - 1) for k, (x, y) in enumerate(inner)]
+        elif b > a:
+            out.append((a, b, True))
+    return out
+
+
+def semantic(text: str | None, least: int, most: int, shift: float = TOPIC_SHIFT, vector: Callable[[str], dict] = word_counts) -> list[tuple[int, int, int]]:
+    """(start, end, units) of chunks: a unit opens a new one if the chunk would be longer than most, or if it has least
+    characters and the unit is structural or unlike the one before it."""
+    parts = units(text, most)
+    vs = [vector(text[a:b]) for a, b, _ in parts]
+    out, first, size = [], 0, 0
+    for i, (a, b, structural) in enumerate(parts):
+        if i > first and (size + b - a > most or (size >= least and (structural or _alike(vs[i - 1], vs[i]) < shift))):
+            out.append((parts[first][0], parts[i - 1][1], i - first))
+            first, size = i, 0
+        size += b - a
+    if parts:
+        out.append((parts[first][0], parts[-1][1], len(parts) - first))
+    return out
+
+
+def semantic_chunked(docs: DataFrame, least: int = 200, most: int = 800, shift: float = TOPIC_SHIFT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, place, start, end, units): the semantic chunks of every document, in code points; null and empty texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, k, *c) for i, t in zip(f["id"], f["text"], strict=True) for k, c in enumerate(semantic(t, least, most, shift))]
+            yield pd.DataFrame(rows, columns=["id", "place", "start", "end", "units"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    return plain.mapInPandas(run, "id long, place int, start int, end int, units int").withColumnRenamed("id", id_col)
+
+
 def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, title, until): lines that open a chapter (a chapter word, or a number such as 2.1) and the line before
     which it ends."""

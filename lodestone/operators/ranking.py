@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import Scratch
+
 # The prior of a status, the penalty of a truth plane that is not the world, the weights of a blend.
 STATUS_PRIOR = {"supported": 1.0, "active": 0.95, "candidate": 0.65, "deferred": 0.4, "contradicted": 0.15, "superseded": 0.05, "rejected": 0.0}
 OTHER_STATUS = 0.2
@@ -169,3 +171,16 @@ def alias_confidence(text: Column, name: Column) -> Column:
     t, n = F.lower(text), F.lower(name)
     inside = F.when(F.contains(n, t) & (F.length(t) >= 3), 0.6 + 0.2 * F.length(t) / F.length(n)).when(F.contains(t, n), 0.5 + 0.2 * F.length(n) / F.length(t))
     return F.when(text == name, 1.0).when(t == n, 0.9).otherwise(inside)
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ``n``, their number from 0 on in the order of a column without ties.  Ranges of rows are numbered each by a
+    task and start where the ranges before them end; what the driver sees is one count for each range."""
+    parts = Scratch(rows.sparkSession, "numbered").table(rows.repartitionByRange(order).withColumn("range_", F.spark_partition_id()))
+    starts, so_far = [], 0
+    for r in sorted(parts.groupBy("range_").count().collect()):
+        starts.append((r[0], so_far))
+        so_far += r[1]
+    before = rows.sparkSession.createDataFrame(starts, "range_ int, before long")
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(order))
+    return parts.join(F.broadcast(before), "range_").withColumn("n", F.col("before") + place - 1).drop("range_", "before")

@@ -13,6 +13,12 @@ def text_chunks(spark, d):
     return chunks.chunked(_t(spark, d, "documents"))
 
 
+@query()
+def semantic_chunks(spark, d):
+    """Chunks that end where the topic changes, at a line end past the least size, or at the most."""
+    return chunks.semantic_chunked(_t(spark, d, "documents"))
+
+
 @query()
 def chunks_of_scope(spark, d):
     """The leaf chunks of the documents of one language and folder."""

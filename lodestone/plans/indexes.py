@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
-from lodestone.functions import matching
-from lodestone.operators import inverted, references, summary_tree, vector_index
+from lodestone.functions import dictionary, matching
+from lodestone.operators import inverted, references, semantic, summary_tree, vector_index
 from lodestone.plans.catalogue import _t, query
 from lodestone.plans.search import _QUERY, _search_sql
 
@@ -136,3 +136,51 @@ def pronoun_resolution(spark, d):
     found = references.mentions(_t(spark, d, "documents"))
     registry = found.select("entity").distinct().filter("entity IS NOT NULL").select("entity", F.expr(_GENDER).alias("gender"))
     return references.resolve(found, registry).withColumnRenamed("id", "doc_id")
+
+
+# ---- a stored dictionary of all words of the documents, and the words of the benchmark looked up in it
+_WORDS = "SELECT w AS term, count(*) AS value FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM {}) GROUP BY w"
+
+
+def _words(spark, d, table):
+    return _t(spark, d, table).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1))).alias("term"), F.lit(1).alias("value"))
+
+
+@query(f"""WITH t AS ({_WORDS.format('documents')}), q AS (SELECT term AS query FROM ({_WORDS.format('benchmark')})),
+ p AS (SELECT query, term, value, levenshtein(query, term) AS distance FROM q, t WHERE abs(length(query) - length(term)) <= 1)
+ SELECT query, term, value, distance FROM p WHERE distance <= 1""")
+def dictionary_fuzzy(spark, d):
+    """The words of the documents within one edit of a word of the benchmark, with their counts."""
+    path = Scratch(spark, "dictionary").root
+    dictionary.build(_words(spark, d, "documents"), path)
+    found = dictionary.fuzzy(spark.read.parquet(path), _words(spark, d, "benchmark").select(F.col("term").alias("query")), 1)
+    return found.withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(f"""WITH t AS ({_WORDS.format('documents')}) SELECT 'prefix' AS lookup, count(*) AS n, sum(value)::BIGINT AS value FROM t WHERE starts_with(term, 'that')
+ UNION ALL SELECT 'range', count(*), sum(value)::BIGINT FROM t WHERE term >= 'and' AND term < 'bl' UNION ALL SELECT 'exact', count(*), sum(value)::BIGINT FROM t WHERE term = (SELECT min(term) FROM t)""")
+def dictionary_scans(spark, d):
+    """A prefix scan, a range scan and an exact lookup (of the least term) in the stored dictionary."""
+    path = Scratch(spark, "dictionary").root
+    dictionary.build(_words(spark, d, "documents"), path)
+    least = dictionary.ends(spark, path).first()["least"] or ""
+    scans = {"prefix": dictionary.prefix(spark, path, "that"), "range": dictionary.between(spark, path, "and", "bl"), "exact": dictionary.exact(spark, path, least)}
+    out = None
+    for name, rows in scans.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.lit(name).alias("lookup"), "n", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- semantic candidate edges: families are labels of vectors, planes languages, polarities the quality of a document
+@query("""WITH n AS (SELECT vec_id AS id, label::VARCHAR AS family, lang AS plane, quality AS polarity, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id LEFT JOIN labels l ON l.doc_id = vec_id),
+ s AS (SELECT x.id AS q, y.id AS i, list_cosine_similarity(x.v, y.v) AS c FROM n x JOIN n y ON x.family = y.family AND x.id <> y.id),
+ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(c, 9) DESC, i) AS rank FROM s), m AS (SELECT p.q AS a, p.i AS b, p.c FROM k p JOIN k r ON r.q = p.i AND r.i = p.q WHERE p.rank <= 10 AND r.rank <= 10 AND p.q < p.i AND round(p.c, 9) >= 0.2)
+ SELECT a, b, x.family, round(c, 6) AS cosine, CASE WHEN x.polarity <> y.polarity THEN 'contradicts' ELSE 'supports' END AS kind FROM m JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE x.plane = y.plane""")
+def semantic_edges(spark, d):
+    """Mutual neighbours of one family and plane, and whether they contradict each other; all cells are asked."""
+    quality = _t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("polarity"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("plane"))
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("family"), F.col("embedding").alias("v"))
+    edges = semantic.candidate_edges(e.join(docs, "id").join(quality, "id", "left"), Scratch(spark, "semantic").root, 10, 0.2, vector_index.MOST_CELLS)
+    return edges.withColumn("cosine", F.round("cosine", 6))

@@ -57,11 +57,11 @@ def document_store(spark, d):
     return versions.delete_keys(put, docs.filter("doc_id % 11 = 0"), ["doc_id"])
 
 
-@query("SELECT c_custkey, c_name, coalesce(n, 0) AS n_orders, coalesce(last, '-') AS last_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderstatus, o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey, c_name, coalesce(n, 0) AS n_orders, coalesce(last, '-') AS last_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderstatus, o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def property_attach(spark, d):
     """Properties for hits; those without any get defaults."""
     p = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max_by("o_orderstatus", "o_orderkey").alias("last"))
-    hits = _t(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", "c_name")
+    hits = _t(spark, d, "customer").select("c_custkey", "c_name")
     return hits.join(p, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("last", F.lit("-")).alias("last_status"))
 
 
@@ -148,10 +148,10 @@ def temporal_subgraph(spark, d):
 
 
 # ---- hierarchies, regions, cross-document edges
-@query("""WITH t AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
+@query("""WITH t AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
  SELECT child AS node, parent AS ancestor, 1 AS depth FROM t UNION ALL SELECT a.child, b.parent, 2 FROM t a JOIN t b ON a.parent = b.child""")
 def graph_ancestors(spark, d):
-    c = _t(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    c = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
     n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     return graph.ancestors(c.union(n), 3)
 
@@ -167,12 +167,12 @@ def graph_region(spark, d):
     return graph.region(e, roots, 2, 12)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS entity FROM lineitem WHERE l_orderkey % 10 = 0), e AS (SELECT entity, count(*) AS n FROM m GROUP BY entity HAVING count(*) >= 2)
- SELECT entity, x.doc AS a, y.doc AS b FROM m x JOIN m y USING (entity) WHERE x.doc < y.doc""")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS entity FROM lineitem), n AS (SELECT entity, doc AS a, lead(doc) OVER (PARTITION BY entity ORDER BY doc) AS b FROM m)
+ SELECT entity, a, b FROM n WHERE b IS NOT NULL""")
 def graph_wormholes(spark, d):
-    """Edges between documents that name one entity, each pair of neighbours in order of the documents joined over the entity."""
-    m = _t(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity")).distinct()
-    return m.select("entity", F.col("doc").alias("a")).join(m.select("entity", F.col("doc").alias("b")), "entity").filter("a < b")
+    """Edges between documents that name one entity: each document and the next one, in order of the documents."""
+    m = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("entity")).distinct()
+    return m.withColumn("b", F.lead("a").over(Window.partitionBy("entity").orderBy("a"))).filter("b IS NOT NULL").select("entity", "a", "b")
 
 
 @query(f"""WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, l_orderkey AS doc FROM (SELECT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2)),
@@ -194,16 +194,15 @@ def session_graph_merge(spark, d):
     return p.groupBy("a", "b").agg(F.sum("n").alias("weight"), F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.col("n") * 0.2, F.lit(0.9))))), 6).alias("confidence"))
 
 
-@query("WITH n AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 50 = 0), i AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM n) SELECT a.k AS src, b.k AS dst FROM n x JOIN n y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey JOIN i a ON a.c_custkey = x.c_custkey JOIN i b ON b.c_custkey = y.c_custkey")
+@query(f"""WITH e0 AS ({_PP}), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e0 WHERE src <> dst), i AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM (SELECT a AS node FROM e UNION SELECT b FROM e))
+ SELECT x.k AS src, y.k AS dst FROM e JOIN i x ON x.node = a JOIN i y ON y.node = b""")
 def graph_slim_response(spark, d):
-    """A bounded response graph with its nodes as numbers."""
-    n = _t(spark, d, "customer").filter("c_custkey % 50 = 0").select("c_custkey", "c_nationkey")
-    i = n.withColumn("k", F.row_number().over(Window.orderBy("c_custkey")).cast("long") - 1)  # the nodes of one response
-    a, b = i.select("c_nationkey", F.col("k").alias("src")), i.select("c_nationkey", F.col("k").alias("dst"))
-    return a.join(b, "c_nationkey").filter("src < dst").select("src", "dst")
+    """A graph with its nodes as numbers from 0 on, in order."""
+    e = _part_edges(spark, d).filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    i = ranking.numbered(e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    return e.join(i.select(F.col("node").alias("a"), F.col("n").alias("src")), "a").join(i.select(F.col("node").alias("b"), F.col("n").alias("dst")), "b").select("src", "dst")
 
 
-# ---- cards, provenance, ordering
 @query("""WITH r AS (SELECT l_suppkey, l_returnflag, count(*) AS n, max(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_suppkey, count(*) AS relations, sum(n)::BIGINT AS facts, string_agg(l_returnflag || ':' || n, ',' ORDER BY n DESC, l_returnflag) AS ledger FROM r GROUP BY l_suppkey""")
 def entity_cards(spark, d):
     r = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
@@ -236,10 +235,10 @@ def _versions(spark, d):
     return versions.history(o, "o_custkey", "o_orderdate", "o_orderkey").drop("o_orderdate")
 
 
-@query(f"WITH {_H} SELECT o_custkey, o_orderkey, o_orderstatus FROM h WHERE o_custkey % 10 = 0 AND valid_from < TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-01-01')")
+@query(f"WITH {_H} SELECT o_custkey, o_orderkey, o_orderstatus FROM h WHERE valid_from < TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-01-01')")
 def entity_timeline(spark, d):
-    """The states of asked entities that overlap a window."""
-    h = _versions(spark, d).filter("o_custkey % 10 = 0")
+    """The states of all entities that overlap a window."""
+    h = _versions(spark, d)
     return h.filter((F.col("valid_from") < F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit("1996-01-01").cast("timestamp_ntz")))).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
@@ -377,10 +376,10 @@ def causal_chains(spark, d):
 
 
 @query("""SELECT a.l_orderkey AS doc, a.l_partkey AS head, b.l_partkey AS tail, round(0.28 + 0.32 * least(a.l_quantity, b.l_quantity) / 50 + 0.34 / (1 + (b.l_linenumber - a.l_linenumber) / 80.0::DOUBLE) + CASE WHEN a.l_returnflag = b.l_returnflag THEN 0.06 ELSE 0 END + 0.08, 6) AS score
- FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber AND b.l_linenumber - a.l_linenumber <= 2 WHERE a.l_orderkey % 10 = 0""")
+ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber AND b.l_linenumber - a.l_linenumber <= 2""")
 def relation_seeds(spark, d):
     """Pairs of mentions in a window, seeded by name quality, distance and kind."""
-    li = _t(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    li = _t(spark, d, "lineitem")
     side = lambda s: li.select(F.col("l_orderkey").alias("doc"), *[F.col(c).alias(f"{s}_{n}") for c, n in (("l_partkey", "id"), ("l_linenumber", "at"), ("l_quantity", "q"), ("l_returnflag", "kind"))])
     p = side("a").join(side("b"), "doc").filter((F.col("b_at") > F.col("a_at")) & (F.col("b_at") - F.col("a_at") <= 2))
     score = 0.28 + 0.32 * F.least("a_q", "b_q") / 50 + 0.34 / (1 + (F.col("b_at") - F.col("a_at")) / 80.0) + F.when(F.col("a_kind") == F.col("b_kind"), 0.06).otherwise(0.0) + 0.08
@@ -396,11 +395,11 @@ def observe_threshold(spark, d):
     return r.filter("part > was").select("conv_id", "turn", F.col("part").alias("observations"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer WHERE c_custkey % 10 = 0), q AS (SELECT c_custkey AS mention, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) WHEN 2 THEN c_name || ' jr' ELSE c_name[10:] END AS text, c_name FROM customer WHERE c_custkey % 10 = 0)
+@query("""WITH n AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer), q AS (SELECT c_custkey AS mention, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) WHEN 2 THEN c_name || ' jr' ELSE c_name[10:] END AS text, c_name FROM customer)
  SELECT mention, id AS entity, round(CASE WHEN text = c_name THEN 1.0 WHEN lower(text) = name THEN 0.9 WHEN contains(name, lower(text)) AND length(text) >= 3 THEN 0.6 + 0.2 * length(text) / length(name) ELSE 0.5 + 0.2 * length(name) / length(text) END::DOUBLE, 6) AS confidence FROM q JOIN n ON id = mention""")
 def alias_resolution(spark, d):
     """How sure a mention's text names an entity."""
-    c = _t(spark, d, "customer").filter("c_custkey % 10 = 0")
+    c = _t(spark, d, "customer")
     k = F.col("c_custkey") % 4
     text = F.when(k == 0, F.col("c_name")).when(k == 1, F.lower("c_name")).when(k == 2, F.concat("c_name", F.lit(" jr"))).otherwise(F.expr("substring(c_name, 10)"))
     return c.select(F.col("c_custkey").alias("mention"), F.col("c_custkey").alias("entity"), F.round(ranking.alias_confidence(text, F.col("c_name")), 6).alias("confidence"))
