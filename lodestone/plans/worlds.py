@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import Scratch
-from lodestone.operators import datalog, graph, ranking, temporal, versions
+from lodestone.operators import datalog, graph, ranking, resolution, temporal, versions
 from lodestone.plans.catalogue import _t, query
 from lodestone.sources import snapshots
 from lodestone.streaming import mentions
@@ -293,13 +293,14 @@ def history_scores(spark, d):
  SELECT mention, entity, score::BIGINT AS score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity) AS place FROM s QUALIFY place <= 5""")
 def entity_resolution(spark, d):
     """Candidates of one blocking key, scored by name, alias, token and block overlap; the five best of each mention."""
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.split(F.lower("p_name"), " ").alias("tok"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"))
-    b = p.select(F.col("id").alias("entity"), F.col("name").alias("b_name"), F.col("tok").alias("b_tok"), "brand", F.col("kind").alias("b_kind"), "size")
-    c = p.join(b, ["brand", "size"]).filter(F.col("id") != F.col("entity"))
-    strong = F.size(F.array_intersect("tok", "b_tok"))
-    score = ranking.resolution_score(F.col("name") == F.col("b_name"), F.col("kind") == F.col("b_kind"), strong, F.lit(2), F.col("kind") == F.col("b_kind"))
-    s = c.select(F.col("id").alias("mention"), "entity", score.cast("long").alias("score"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "entity")).cast("long")).filter("place <= 5")
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"))
+
+    def score(a, b):
+        strong = F.size(F.array_intersect(F.split(a + "name", " "), F.split(b + "name", " ")))
+        alike = F.col(a + "kind") == F.col(b + "kind")
+        return ranking.resolution_score(F.col(a + "name") == F.col(b + "name"), alike, strong, F.lit(2), alike).cast("long")
+
+    return resolution.best_candidates(p, ["brand", "size"], ["name", "kind"], score, 5)
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS tm FROM events), n AS (SELECT *, lead(event_id) OVER w AS o_id, lead(value) OVER w AS o_value, lead(props) OVER w AS o_props, lead(tm) OVER w AS o_tm FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY tm, event_id)),

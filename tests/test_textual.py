@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from lodestone.operators import resolution
 from lodestone.plans import catalogue, textual
 
 WHERE = "/root/testdata/sf0.001"
@@ -23,3 +26,13 @@ def test_twin(spark, name):
     rows = [tuple(r) for r in got.select(cols).collect()]
     assert len(rows) == len(want)
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_rows_of_equal_traits_are_scored_once(spark):
+    """30,000 rows of one block: 900 million pairs of rows, 9 of profiles."""
+    rows = spark.range(30_000).select("id", F.lit("b").alias("block"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("kind"))
+    score = lambda a, b: F.when(F.col(a + "kind") == F.col(b + "kind"), 2).otherwise(1)
+    got = resolution.best_candidates(rows, ["block"], ["kind"], score, 2)
+    assert got.count() == 60_000
+    some = {tuple(r) for r in got.filter("mention IN (0, 1, 7, 29999)").collect()}
+    assert some == {(0, 1, 1, 1), (0, 2, 1, 2), (1, 4, 2, 1), (1, 7, 2, 2), (7, 1, 2, 1), (7, 4, 2, 2), (29999, 2, 2, 1), (29999, 5, 2, 2)}
