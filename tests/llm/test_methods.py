@@ -321,3 +321,18 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             else:
                 assert sum(left.values()) == len(have) and max(r[4] for r in left) <= sharding.SHARD_BYTES
         now = out
+
+
+def test_line_dedup_does_not_depend_on_the_order_of_words(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.llm import line_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    find = lambda: {tuple(r) for r in line_dedup.duplicates(docs).collect()}
+    counted = line_dedup.rarity(docs.withColumnRenamed("doc_id", "id"))
+    want = find()
+    for ranks in (len(counted) - 1 - counted, np.zeros_like(counted)):
+        monkeypatch.setattr(line_dedup, "rarity", lambda _, ranks=ranks: ranks)
+        assert find() == want
+    assert want
