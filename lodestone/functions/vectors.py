@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, PIECE = 1024, 16_384
+QUERY_BLOCK, PIECE = 4096, 16_384
+AT_ONCE = 128  # queries of a block whose scores are held at a time
 
 
 def dot(a: str, b: str) -> Column:
@@ -62,16 +65,34 @@ def _matrix(column) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _first(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row of scores the places of the k best, of equal scores (9 decimals) those of the least ids."""
-    rounded = np.round(score, 9)
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k best of each row of scores, of equal scores (9 decimals) those of the least ids; -inf takes no part."""
     n = min(k, score.shape[1])
-    edge = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
-    out = []
-    for row, least in zip(rounded, edge, strict=True):
-        at = np.flatnonzero((row >= least) & (row > -np.inf))
-        out.append(at[np.lexsort((ids[at], -row[at]))][:n])
-    return out
+    # the k-th highest of the maxima of strips is no higher than the k-th score, and far cheaper to find
+    strips = score.shape[1] // 16
+    held = score[:, : strips * 16].reshape(len(score), strips, 16).max(axis=2) if strips >= 4 * n else score
+    least = np.partition(held, held.shape[1] - n, axis=1)[:, held.shape[1] - n]
+    row, at = np.nonzero((score >= least[:, None] - 2e-9) & (score > -np.inf))
+    order = np.lexsort((ids[at], -np.round(score[row, at], 9), row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[kept], at[kept]
+
+
+def _scores(q: np.ndarray, of: np.ndarray, m: np.ndarray, ids: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Cosines of some queries after others with all rows; -inf for a query itself and for what is no number."""
+    order = np.argsort(ids, kind="stable")
+    low, high = (np.searchsorted(ids[order], of, side) for side in ("left", "right"))
+    lost, void = np.isnan(m).any(axis=1), np.isnan(q).any(axis=1)
+    for lo in range(0, len(q), AT_ONCE):
+        now = slice(lo, min(lo + AT_ONCE, len(q)))
+        s = q[now] @ m.T
+        for i in np.flatnonzero(high[now] > low[now]):
+            s[i, order[low[lo + i] : high[lo + i]]] = -np.inf
+        if lost.any():
+            s[:, lost] = -np.inf
+        s[void[now]] = -np.inf
+        yield now, s
 
 
 def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -83,13 +104,11 @@ def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFram
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, of = left["id"].to_numpy(), right["query"].to_numpy()
-        s = _unit(right["qv"]) @ _unit(left["v"]).T
-        s[of[:, None] == ids[None, :]] = -np.inf
-        best = _first(s, ids, k)
-        n = np.repeat(np.arange(len(of)), [len(b) for b in best])
-        at = np.concatenate(best)
-        return pa.table([of[n], ids[at], s[n, at]], schema=schema)
+        ids, of, out = left["id"].to_numpy(), right["query"].to_numpy(), []
+        for now, s in _scores(_unit(right["qv"]), of, _unit(left["v"]), ids):
+            n, at = _first(s, ids, k)
+            out.append(pa.table([of[now][n], ids[at], s[n, at]], schema=schema))
+        return pa.concat_tables(out)
 
     return rows.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query", "qv").groupBy(*keys)).applyInArrow(top, "query long, id long, cosine double")
 
@@ -103,16 +122,20 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", within: str | None = None) -> DataFrame:
     """(query, id, cosine, rank) by exact search; with ``within``, among rows that share the query's value of that column.
-    A grid of pieces of at most about PIECE rows and blocks of at most about QUERY_BLOCK queries: every task
-    holds one block against one piece and keeps k per query.  Null vectors and ids take no part."""
+    A grid for each value: pieces of at most about PIECE rows and blocks of at most about QUERY_BLOCK queries; every
+    task holds one block against one piece, AT_ONCE queries at a time, and keeps k per query.  Null vectors and ids take no part."""
     has = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
     scope = F.coalesce(F.col(within).cast("string"), F.lit("\\N")) if within else F.lit("")
     rows = vectors.filter(has).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), scope.alias("scope"))
     asked = queries.filter(has).select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("qv"), scope.alias("scope"))
-    pieces, blocks = max(1, -(-rows.count() // PIECE)), max(1, -(-asked.count() // QUERY_BLOCK))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces))).withColumn("block", all_of(blocks))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("piece", all_of(pieces))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sizes = rows.select("scope", one.alias("n"), none.alias("q")).unionByName(asked.select("scope", none.alias("n"), one.alias("q"))).groupBy("scope").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    # only values of many rows or queries: few, whatever the number of values
+    large = F.broadcast(sizes.filter((F.col("n") > PIECE) | (F.col("q") > QUERY_BLOCK)).select("scope", F.ceil(F.col("n") / PIECE).alias("pieces"), F.ceil(F.col("q") / QUERY_BLOCK).alias("blocks")))
+    many = lambda c: F.greatest(F.coalesce(c, one), one)
+    all_of = lambda c: F.explode(F.sequence(none, many(F.col(c)) - 1))
+    rows = rows.join(large, "scope", "left").withColumn("piece", F.pmod(F.xxhash64("id"), many(F.col("pieces")))).withColumn("block", all_of("blocks"))
+    asked = asked.join(large, "scope", "left").withColumn("block", F.pmod(F.xxhash64("query"), many(F.col("blocks")))).withColumn("piece", all_of("pieces"))
     return ranked(meet(rows, asked, ["scope", "piece", "block"], k), k)
 
 

@@ -118,3 +118,24 @@ def test_triangles_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 59)]
     got = {tuple(r) for r in graph.triangles(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {(0, i, i + 1) for i in range(1, 59)}
+
+
+def test_two_stage_in_pieces_equals_the_plain_shortlist(spark, monkeypatch):
+    """Many rows at the last distance, dealt over pieces: those of the least ids are shortlisted; no row of a shortlist is shuffled."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PIECE", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 6))
+    v[250:] = v[:50]
+    rows = spark.createDataFrame([(int(i), [float(x) for x in v[i]]) for i in range(300)], "vec_id long, embedding array<float>")
+    f, first, want = v.astype(np.float32).astype(np.float64), 120, set()
+    for q in range(0, 300, 50):
+        h = ((f >= 0) != (f[q] >= 0)).sum(axis=1)
+        short = [i for i in np.lexsort((np.arange(300), h)) if i != q][:first]
+        c = f[short] @ f[q] / np.linalg.norm(f[short], axis=1) / np.linalg.norm(f[q])
+        want |= {(q, int(short[p]), int(h[short[p]]), n + 1) for n, p in enumerate(np.lexsort((short, -np.round(c, 9)))[:5])}
+    found = geometry.two_stage(rows, rows.filter("vec_id % 50 = 0"), 5, share=0.4)
+    assert {(x["query"], x["id"], x["hamming"], x["rank"]) for x in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
