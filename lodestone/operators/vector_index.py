@@ -149,11 +149,14 @@ def _asked(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, cosine, rank): of each query the k nearest rows that its cells hold, itself not among them."""
+    """(query, id, cosine, rank): of each query the k nearest rows that its cells hold, itself not among them.
+    A search of all cells is exact, on the grid of ``vectors.nearest``."""
     spark = queries.sparkSession
     if not len(index.centres):
         return spark.createDataFrame([], "query long, id long, cosine double, rank int")
     asked = _pick(queries, id_col, vec_col)
+    if (probes or index.probes) >= len(index.centres):  # every query meets every row: a shortlist from each cell would only be in the way
+        return vectors.nearest(index.rows(spark), asked, k, "id", "v")
     centres, first = index.centres, max(k, SHORTLIST * k)
     sizes = index.sizes(spark)
     pieces = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(max(1, -(-n // PIECE))).cast("long"))]) if sizes else None
@@ -173,14 +176,10 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
         ids, of_query, cell = left["id"].to_numpy(), right["query"].to_numpy(), left["cell"][0].as_py()
         code = np.frombuffer(b"".join(left["code"].to_pylist()), np.int8).reshape(len(ids), -1)
         m = code * left["scale"].to_numpy()[:, None].astype(np.float64) + centres[cell]
-        q, out = vectors._unit(right["qv"]), []
-        for lo in range(0, len(q), vectors.QUERY_BLOCK):
-            s, some = q[lo : lo + vectors.QUERY_BLOCK] @ m.T, of_query[lo : lo + vectors.QUERY_BLOCK]
-            s[some[:, None] == ids[None, :]] = -np.inf
-            best = vectors._first(s, ids, first)
-            n = np.repeat(np.arange(len(some)), [len(b) for b in best])
-            at = np.concatenate(best)
-            out.append(pa.table([some[n], ids[at], s[n, at]], schema=schema))
+        out = []
+        for now, s in vectors._scores(vectors._unit(right["qv"]), of_query, m, ids):
+            n, at = vectors._first(s, ids, first)
+            out.append(pa.table([of_query[now][n], ids[at], s[n, at]], schema=schema))
         return pa.concat_tables(out)
 
     keys = ["cell", "piece", "block"]
