@@ -78,3 +78,30 @@ def test_nearest_deals_queries_and_rows(spark, monkeypatch):
             s[np.arange(200)[:, None] % 3 != np.arange(200)[None, :] % 3] = -9
         want = {(q, int(i), n + 1) for q in range(200) for n, i in enumerate(np.lexsort((np.arange(200), -s[q]))[:5])}
         assert {(x.query, x.id, x["rank"]) for x in vectors.nearest(e, e, 5, within=within).collect()} == want
+
+
+def test_scores_are_held_for_few_queries_at_a_time(spark, monkeypatch):
+    """The memory of a task does not follow the queries of its block, and pieces and blocks are those of a query's own scope."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    ids, v = r.permutation(500), r.normal(size=(500, 8))
+    v[10:60] = v[0]
+    seen = []
+    for now, s in vectors._scores(v[:300], ids[:300], v, ids):
+        seen.append(s.nbytes)
+        row, at = vectors._first(s, ids, 7)
+        for i in range(len(s)):
+            score = np.round(s[i], 9)
+            want = [p for p in np.lexsort((ids, -score)) if p != now.start + i][:7]
+            assert at[row == i].tolist() == want
+    assert max(seen) <= vectors.AT_ONCE * 500 * 8
+
+
+def test_a_search_of_all_cells_keeps_no_shortlist_of_each(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 200")
+    index = vector_index.build(e, str(tmp_path / "all"))
+    hits = vector_index.search(index, e, 4, probes=len(index.centres))
+    assert "near" not in hits._jdf.queryExecution().analyzed().toString()
+    want = {(r.query, r.id) for r in vectors.nearest(e, e, 4).collect()}
+    assert {(r.query, r.id) for r in hits.collect()} == want
