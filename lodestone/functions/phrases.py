@@ -14,11 +14,17 @@ of one id are one document each only if the id is unique.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = "DPTFXMCQJRVNS"
 MARKS = "".join(chr(0xE000 + k) for k in range(len(CLASSES)))
+END = chr(0xE000 + len(CLASSES))  # no token holds a private character
 TOKEN = r"[\p{L}\p{Nd}'\-]+|\p{P}"
 
 # Word classes of known words.  A word of two classes has the last one.
@@ -95,52 +101,73 @@ _WORD_AFTER = f"([^{MARKS}]*)"
 FIRST, LAST, VERB, LONE = f"^.{_WORD_AFTER}", f"[{MARKS}]{_WORD_AFTER}$", f"{_marks('V')}{_WORD_AFTER}", f"^.*[{_marks('XMR')}]{_WORD_AFTER}"
 
 
-def _base(w: Column, low: Column) -> Column:
-    """The class of a word, given its lower-case form too, on its own."""
-    out = F.when(low.isin(KNOWN["N"].split()), "N")
-    for k, words in KNOWN.items():
-        if k != "N":
-            out = out.when(low.isin(words.split()), k)
-    out = out.when((F.length(w) == 1) & w.rlike(r"^(\p{P}|-|')$"), "S").when(w.rlike(r"^\p{Lu}"), "N")
-    for k, ends in ENDINGS.items():
-        hit = F.lit(False)
-        for e in ends.split():
-            hit = hit | F.endswith(low, F.lit(e))
-        out = out.when(hit, k)
-    return out.otherwise("N")
+_KNOWN = {w: k for k, words in KNOWN.items() if k != "N" for w in reversed(words.split())} | dict.fromkeys(KNOWN["N"].split(), "N")
+_PUNCTUATION, _UPPER, _TOKENS = regex.compile(r"\p{P}|-|'"), regex.compile(r"\p{Lu}"), regex.compile(TOKEN)
+#: The same tokens of a text in ASCII, and places where the class of a word changes with the classes before it.
+_PLAIN_TOKENS, _TURNS = re.compile(r"[A-Za-z0-9'\-]+|[!\"#%&'()*,\-./:;?@\[\\\]_{}]"), re.compile(r"(?<=[DJRF])[VXM]|(?<=T)N|(?<=M)(?<![DJRF]M)N")
+WORDS_HELD = 1 << 17
+_MARK = dict(zip(CLASSES, MARKS, strict=True))
+
+
+def _base(w: str) -> str:
+    """The class of a word on its own."""
+    low = w.lower()
+    if low in _KNOWN:
+        return _KNOWN[low]
+    if len(w) == 1 and _PUNCTUATION.fullmatch(w):
+        return "S"
+    if _UPPER.match(w):
+        return "N"
+    return next((k for k, ends in ENDINGS.items() if low.endswith(tuple(ends.split()))), "N")
+
+
+class Tagger(dict):
+    """The class of every word met so far, and the word behind its mark; at most ``WORDS_HELD`` are held."""
+
+    def __missing__(self, w: str) -> tuple[str, str]:
+        b = _base(w)
+        self[w] = x = (b, _MARK[b] + w)
+        return x
 
+    def tagged(self, text: str) -> str:
+        """The tokens of a text as one string of mark, class and token.
 
-def tagged(text: Column) -> Column:
-    """The tokens of a text as one string of mark, class and token.
+        After a determiner, adjective or adverb, and after "of", a verb is a noun; after a modal and after "to", a noun is a verb."""
+        if len(self) > WORDS_HELD:
+            self.clear()
+        words = (_PLAIN_TOKENS if text.isascii() else _TOKENS).findall(text)
+        if not words:
+            return ""
+        classes, out = zip(*map(self.__getitem__, words), strict=True)
+        out = list(out)
+        for m in _TURNS.finditer("".join(classes)):
+            at = m.start()
+            out[at] = _MARK["V" if m[0] == "N" else "N"] + words[at]
+        return "".join(out)
 
-    After a determiner, adjective or adverb, and after "of", a verb is a noun; after a modal and after "to", a noun is a verb."""
-    words = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    lowered = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).alias("low")))
-    pairs = F.transform(lowered, lambda x: F.struct(x["w"].alias("w"), _base(x["w"], x["low"]).alias("b")))
 
-    def settle(all_pairs: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            b, p, q = x["b"], F.get(all_pairs, i - 1)["b"], F.get(all_pairs, i - 2)["b"]
-            verbal = b.isin("V", "X", "M")
-            still_modal = ~F.coalesce(q.isin("D", "J", "R", "F"), F.lit(False))
-            tag = F.when(p.isin("D", "J", "R", "F") & verbal, "N").when((b == "N") & ((p == "T") | ((p == "M") & still_modal)), "V").otherwise(b)
-            return F.concat(F.translate(tag, CLASSES, MARKS), x["w"])
+def pieces(text: Column) -> Column:
+    """The phrases of a text, each as its tokens behind their marks; null if there are none."""
 
-        return F.array_join(F.transform(all_pairs, one), "")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger, phrase = Tagger(), re.compile(PHRASE)
+        for part in parts:
+            yield pd.Series([(t and END.join(phrase.findall(tagger.tagged(t)))) or None for t in part], dtype=object)
 
-    return F.get(F.transform(F.array(pairs), settle), 0)  # the pairs are bound once, not worked out again for each token
+    return F.split(F.pandas_udf(run, "string")(text), END, -1)  # one string crosses over faster than many
 
 
 def phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, place, kind, head, phrase): phrases in order; kind is prep, verb, noun or clause, head its main word."""
-    p = docs.select(id_col, F.posexplode(F.regexp_extract_all(tagged(F.col(text_col)), F.lit(PHRASE), F.lit(1))).alias("place", "piece"))
-    first = F.translate(F.substring("piece", 1, 1), MARKS, CLASSES)
-    kind = F.when(first.isin("P", "T", "F"), "prep").when(first == "Q", "clause").when(first.isin("D", "J", "N"), "noun").otherwise("verb")
-    prep, last, verb, lone = (F.regexp_extract("piece", x, 1) for x in (FIRST, LAST, VERB, LONE))
-    p = p.withColumn("kind", kind)
+    p = docs.select(id_col, pieces(F.col(text_col).cast("string")).alias("pieces")).select(id_col, F.posexplode("pieces").alias("place", "piece"))
+    first = F.substring("piece", 1, 1)
+    kind = F.when(first.isin(*_marks("PTF")), "prep").when(first == _marks("Q"), "clause").when(first.isin(*_marks("DJN")), "noun").otherwise("verb")
+    p = p.select(id_col, "place", "piece", kind.alias("kind"), F.split("piece", f"[{MARKS[0]}-{MARKS[-1]}]", -1).alias("words"))  # the first is what stands before the first mark: nothing
+    last, verb, lone = F.element_at("words", -1), F.regexp_extract("piece", VERB, 1), F.regexp_extract("piece", LONE, 1)
     # a clause's main word is that of its verb phrase: its verb, or the last word before the noun phrase
-    head = F.when(F.col("kind") == "prep", prep).when(F.col("kind") == "noun", last).when(verb != "", verb).when(F.col("kind") == "clause", lone).otherwise(last)
-    whole = F.ltrim(F.regexp_replace("piece", f"[{MARKS}]", " "))
+    other = F.when(F.instr("piece", _marks("V")) > 0, verb).when(F.col("kind") == "clause", lone).otherwise(last)
+    head = F.when(F.col("kind") == "prep", F.get("words", F.lit(1))).when(F.col("kind") == "noun", last).otherwise(other)
+    whole = F.substring(F.array_join("words", " "), 2, 1 << 30)
     return p.select(id_col, "place", "kind", head.alias("head"), whole.alias("phrase"))
 
 

@@ -55,3 +55,15 @@ def test_very_long_runs(spark):
     docs = spark.createDataFrame([(1, "stone " * n), (2, "slowly " * n + "killed"), (3, "who " + "slowly " * n)], "doc_id long, text string")
     got = {r.doc_id: (r.kind, r.head, len(r.phrase.split())) for r in phrases.phrases(docs).filter("place = 0").collect()}
     assert got == {1: ("noun", "stone", n), 2: ("verb", "slowly", n), 3: ("clause", "slowly", n + 1)}
+
+
+def test_words_are_classed_once_and_phrases_cross_in_one_string(spark):
+    """No array function runs over the tokens of a text; both patterns for tokens agree on ASCII."""
+    tagger = phrases.Tagger()
+    text = "".join(map(chr, range(32, 127))) + " The old king will ring the bell, and to king of ruled men."
+    assert phrases._PLAIN_TOKENS.findall(text) == phrases._TOKENS.findall(text)
+    assert [phrases.CLASSES[phrases.MARKS.index(c)] for c in tagger.tagged("to king of ruled can ring") if c in phrases.MARKS] == list("TVFNMV")
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "The old king")], "doc_id long, text string")
+    found = phrases.phrases(rows)
+    assert [tuple(r) for r in found.collect()] == [(4, 0, "noun", "king", "The old king")]
+    assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
