@@ -115,8 +115,8 @@ def dictionary_matches(spark, d):
     surfaces = F.array(*[F.when(F.size(words) >= k, F.array_join(F.slice(words, 1, k), " ")) for k in (2, 3)])
     lexicon = _t(spark, d, "benchmark").select(F.explode(surfaces).alias("surface"), F.col("item_id").alias("entity")).filter("surface IS NOT NULL")
     docs = _t(spark, d, "documents").select("doc_id", "text")
-    found = matching.matches(docs, lexicon).join(docs, "doc_id")
-    there = matching.canonical(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    found = matching.matches(docs, lexicon, keep=True)
+    there = matching.canonical(F.col("there"))
     return found.select("doc_id", "word", "surface", "entity", (there == F.col("surface")).alias("same"))
 
 

@@ -109,3 +109,12 @@ def test_pronouns_equal_a_plain_rewrite(spark):
 def test_mentions(spark):
     docs = spark.createDataFrame([(1, "Anna said they saw HER, Bo. It"), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r) for r in references.mentions(docs).orderBy("place").collect()] == [(1, 0, "Anna", None), (1, 2, None, "P"), (1, 4, None, "F"), (1, 6, None, "N")]
+
+
+def test_matches_bring_what_stands_in_the_text(spark):
+    """The original text of a match comes with it, so texts need not be joined again; rows of one id stay apart."""
+    docs = spark.createDataFrame([(1, "An OLD  King, and old king"), (1, "old–king"), (2, None)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("old king", 7)], "surface string, entity int")
+    found = matching.matches(docs, lexicon, keep=True).collect()
+    assert sorted(r["there"] for r in found) == ["OLD  King", "old king"]
+    assert "there" not in matching.matches(docs, lexicon).columns
