@@ -35,7 +35,7 @@ def qgram_index_top(spark, d):
 def qgram_index_postings(spark, d):
     """The documents and places of every gram in the index."""
     rows = _index(spark, d).postings(spark).filter(~F.contains("gram", F.lit("\0")))
-    return rows.groupBy("gram").agg(F.sum("n").alias("documents"), F.sum(F.size("places")).alias("occurrences"))
+    return rows.groupBy("gram").agg(F.sum("n").alias("documents"), F.sum("occurrences").alias("occurrences"))
 
 
 # ---- the vector index: cells, codes, rerank

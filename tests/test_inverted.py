@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -64,3 +65,27 @@ def test_null_empty_and_overlapping_places(spark, tmp_path):
     empty = inverted.build(docs.limit(0), str(tmp_path / "e"))
     assert inverted.search(spark, empty, "aaa").count() == 0 and inverted.Search(spark, empty, "aaa").best(3)[0].count() == 0
     assert inverted.Search(spark, stored, "").best(3)[1].candidates == 0
+
+
+def test_postings_are_packed(spark, tmp_path):
+    """Two bytes and a half a character at most, in one segment for each task (4.3 bytes as lists, and as much shuffled)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stored = inverted.build(docs, str(tmp_path / "q"))
+    files = [f for f in os.listdir(f"{stored.path}/postings") if f.endswith(".parquet")]
+    chars = docs.selectExpr("sum(length(text))").first()[0]
+    assert sum(os.path.getsize(f"{stored.path}/postings/{f}") for f in files) < 2.5 * chars
+    assert len(files) <= docs.rdd.getNumPartitions()
+    assert stored.postings(spark).agg({"occurrences": "sum"}).first()[0] == chars
+
+
+def test_packed_rows_come_back(spark, tmp_path):
+    values = np.array([0, 127, 128, 16383, 16384, 1 << 21, (1 << 31) - 1])
+    data, first = inverted._to_bytes(values)
+    back, starts = inverted._from_bytes(data)
+    assert back.tolist() == values.tolist() and starts.tolist() == first.tolist()
+    wide = "".join(map(chr, range(0x4E00, 0x9FA5)))  # letters too many for one number of gram and place are sorted in another way
+    docs = spark.createDataFrame([(7, "aaaa"), (7, "aaaa"), (8, wide * 60 + "aaaa"), (9, "baaa")], "doc_id long, text string").coalesce(1)
+    stored = inverted.build(docs, str(tmp_path / "w"))
+    for query in ("aaaa", "a", "baa aaa", wide[-1] + "aa"):  # repeated ids are rows of their own, as in the scan
+        want = sorted((r.doc_id, round(r.score, 6), r.matched) for r in qgram.search(docs, query).collect())
+        assert sorted((r.id, round(r.score, 6), r.matched) for r in inverted.search(spark, stored, query).collect()) == want
