@@ -9,7 +9,7 @@ C conjunction, Q relative pronoun, J adjective, R adverb, V verb, N noun, name o
 pronoun, S punctuation.
 
 Defined results: null and empty texts have no phrases and no events; repeated rows
-of one id are one document each only if the id is unique.
+of one id are one document each in ``phrases`` and ``narrated``, in ``events`` only if the id is unique.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLASSES = "DPTFXMCQJRVNS"
 MARKS = "".join(chr(0xE000 + k) for k in range(len(CLASSES)))
@@ -194,6 +196,58 @@ def events(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return hit.select(id_col, "place", "event", "relation", F.coalesce("subject", F.lit("Unknown")).alias("subject"), F.coalesce("object", F.lit("Unknown")).alias("object"))
 
 
+class Verbs(dict):
+    """The event and relation of every verb met so far, None of those that narrate nothing; at most ``WORDS_HELD`` are held."""
+
+    def __init__(self):
+        self.known = {v: (event, relation) for v, event, relation in verb_rows()}
+
+    def __missing__(self, w: str) -> tuple[str, str] | None:
+        low = w.lower()
+        cut = next((low[: -len(e)] for e in VERB_ENDINGS if low.endswith(e) and len(low) > len(e) + 2), low)
+        if len(self) > WORDS_HELD:
+            self.clear()
+        self[w] = x = self.known.get(cut)
+        return x
+
+
+_NOUN_FIRST, _OTHER_FIRST = frozenset(_marks("DJN")), frozenset(_marks("PTFQ"))
+_LAST_WORD, _VERB_MARK, _VERB_WORD = re.compile(LAST), _marks("V"), re.compile(VERB)
+
+
+def _narrated(found: list[str], verbs: Verbs) -> Iterator[tuple[int, str, str, str, str]]:
+    """(place, event, relation, subject, object) from the phrases of a text: a verb waits for the next noun phrase."""
+    noun, waiting = "Unknown", []
+    for place, piece in enumerate(found):
+        if piece[0] in _NOUN_FIRST:
+            noun = _LAST_WORD.search(piece)[1]
+            for w in waiting:
+                yield *w, noun
+            waiting.clear()
+        elif piece[0] not in _OTHER_FIRST:
+            head = _VERB_WORD.search(piece) if _VERB_MARK in piece else _LAST_WORD.search(piece)
+            if hit := verbs[head[1]]:
+                waiting.append((place, *hit, noun))
+    for w in waiting:
+        yield *w, "Unknown"
+
+
+def narrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, place, event, relation, subject, object): ``events`` of ``phrases`` within each document's row, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger, phrase, verbs = Tagger(), re.compile(PHRASE), Verbs()
+        for b in batches:
+            rows = [(k, *e) for k, t in enumerate(b.column(1).to_pylist()) if t for e in _narrated(phrase.findall(tagger.tagged(t)), verbs)]
+            if rows:
+                of, place, *words = zip(*rows, strict=True)
+                columns = [b.column(0).take(pa.array(of)), pa.array(place, pa.int32()), *[pa.array(w, pa.string()) for w in words]]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "place", "event", "relation", "subject", "object"])
+
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("place", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("event", "relation", "subject", "object")]]
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+
+
 _WORD = r"[A-Za-z0-9_'\-]+"
 
 

@@ -50,7 +50,7 @@ _VERBS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in phrases.verb_rows())
 )
 def narrative_events(spark, d):
     """Who does what to whom, by a dictionary of verbs."""
-    return phrases.events(phrases.phrases(_t(spark, d, "documents")))
+    return phrases.narrated(_t(spark, d, "documents"))
 
 
 _WORD = r"[A-Za-z0-9_''\-]+"

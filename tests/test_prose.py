@@ -67,3 +67,15 @@ def test_words_are_classed_once_and_phrases_cross_in_one_string(spark):
     found = phrases.phrases(rows)
     assert [tuple(r) for r in found.collect()] == [(4, 0, "noun", "king", "The old king")]
     assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_found_within_a_row(spark):
+    """The same events as from rows of phrases, without a shuffle or a window."""
+    texts = ["Tom saw Ann. She quickly killed a dragon and told", "attacked fought the King who slowly is wise; the men found gold", None, "", "slowly", "İt was. ﬁnd K."]
+    texts += [r.text for r in spark.read.parquet(f"{WHERE}/documents.parquet").select("text").limit(40).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = phrases.narrated(docs)
+    want = phrases.events(phrases.phrases(docs)).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = prose.narrative_events(spark, WHERE)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
