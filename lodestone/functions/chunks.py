@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import ROWS, Scratch, pieces
+
 # Abbreviations after which a full stop ends no sentence, and words that open a chapter.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e fig no vol".split())
 CHAPTER_WORDS = ("chapter", "part", "book", "prologue", "epilogue", "section")
@@ -140,16 +142,31 @@ def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return lines.filter(opens).withColumn("until", F.lead("line").over(w)).select(id_col, "line", "title", "until")
 
 
+#: Surfaces of a lexicon that is sent to all executors.
+SMALL = 1 << 17
+#: Texts of a task are some quarter of the rows of other tasks: two tables of (id, entity) are held for them.
+HELD = 4
+
+
 def surfaces(docs: DataFrame, lexicon: DataFrame, longest: int, tokens: Column, id_col: str = "doc_id") -> DataFrame:
     """(id, entity, n): how often known surfaces stand in a text.  lexicon: surface (tokens joined by a space), entity.
-    Every run of up to ``longest`` tokens is looked up by an equi-join, so the lexicon may be of any size."""
-    t = docs.select(id_col, tokens.alias("t"))
-    parts = None
-    for n in range(1, longest + 1):
-        grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - (n - 1))), _gram(n))).otherwise(F.array().cast("array<string>"))
-        one = t.select(id_col, F.explode(grams).alias("surface"))
-        parts = one if parts is None else parts.union(one)
-    return parts.join(lexicon, "surface").groupBy(id_col, "entity").agg(F.count(F.lit(1)).alias("n"))
+    Texts are dealt by id, as many to a task whatever the input, and counted where they are.  Every run of up to ``longest``
+    tokens is looked up by an equi-join: a lexicon of more than ``SMALL`` rows, which may be of any size, is dealt by surface,
+    but for surfaces that stand in more places than a task has rows."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "surfaces")
+    t = docs.repartition(pieces(spark, HELD * docs.count()), id_col).select(id_col, tokens.alias("t"))
+    none = F.array().cast("array<string>")
+    grams = [F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - (n - 1))), _gram(n))).otherwise(none) for n in range(1, longest + 1)]
+    parts = t.select(id_col, F.explode(F.concat(*grams)).alias("surface"))
+    known = scratch.table(lexicon.select("surface", "entity"), "lexicon")
+    if known.count() <= SMALL:
+        found = parts.join(F.broadcast(known), "surface")
+    else:
+        places = scratch.table(parts.groupBy("surface").agg(F.count(F.lit(1)).alias("places")), "places")
+        hot = F.broadcast(places.filter(F.col("places") > ROWS).select("surface"))
+        rest = parts.join(hot, "surface", "left_anti").repartition(pieces(spark, places.agg(F.sum("places")).first()[0]), "surface")
+        found = parts.join(F.broadcast(known.join(hot, "surface", "left_semi")), "surface").union(rest.join(known, "surface").select("surface", id_col, "entity"))
+    return found.groupBy(id_col, "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _gram(n: int):
